@@ -12,6 +12,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vespera.llm.simhash import near_duplicates
+
+    out = near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vespera.llm.exact_dedup import duplicate_groups
 
@@ -34,7 +41,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_exact_dedup": op9_exact_dedup}
+    return {
+        "op8_simhash_near_dedup": op8_simhash_near_dedup,
+        "op9_exact_dedup": op9_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
