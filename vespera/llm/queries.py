@@ -12,6 +12,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vespera.llm.quality_crf import assess
+
+    return assess(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vespera.llm.warc import read_archives, write_archives
+
+    return read_archives(write_archives(_table(spark, sf_dir, "pages")), payloads=False).drop("payload", "url")
+
+
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
+), g AS (
+  SELECT page_id, octet_length(b) AS n, sha1(b) AS d, max(page_id) OVER (PARTITION BY b) AS best FROM p
+)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id < best THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < best THEN best END AS refers_to
+FROM g
+"""
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vespera.llm.simhash import near_duplicates
 
@@ -42,10 +67,12 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_quality_crf": op4_quality_crf,
+        "op5_warc": op5_warc,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op5_warc": OP5_SQL, "op9_exact_dedup": OP9_SQL}
