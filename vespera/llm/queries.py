@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vespera.llm.pii import find
+
+    return find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vespera.llm.quality_crf import assess
 
@@ -67,6 +73,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
         "op4_quality_crf": op4_quality_crf,
         "op5_warc": op5_warc,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
