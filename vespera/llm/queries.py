@@ -18,6 +18,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vespera.llm.html_text import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vespera.llm.quality_crf import assess
 
@@ -74,6 +80,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
+        "op2_html_text": op2_html_text,
         "op4_quality_crf": op4_quality_crf,
         "op5_warc": op5_warc,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
