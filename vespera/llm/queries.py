@@ -49,6 +49,13 @@ FROM g
 """
 
 
+def op6_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vespera.llm.kmeans_tree import nearest
+
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vespera.llm.simhash import near_duplicates
 
@@ -83,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_html_text": op2_html_text,
         "op4_quality_crf": op4_quality_crf,
         "op5_warc": op5_warc,
+        "op6_kmeans_tree": op6_kmeans_tree,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
     }
