@@ -56,6 +56,14 @@ def op6_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from vespera.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vespera.llm.simhash import near_duplicates
 
@@ -91,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_crf": op4_quality_crf,
         "op5_warc": op5_warc,
         "op6_kmeans_tree": op6_kmeans_tree,
+        "op7_packing": op7_packing,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
     }
