@@ -24,6 +24,52 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_table(spark, sf_dir, "pages"))
 
 
+def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vespera.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, length(coalesce(text, '')) + 1 AS size, coalesce(md5(CAST(doc_id AS VARCHAR)), '') AS digest FROM documents
+), sizes AS (
+  SELECT source, CAST(sum(size) AS DOUBLE) AS size FROM d GROUP BY source
+), w AS (
+  SELECT source, pow(size, 0.5) / sum(pow(size, 0.5)) OVER () * (1000 - count(*) OVER ()) AS ideal, count(*) OVER () AS n FROM sizes
+), f AS (
+  SELECT source, ideal - floor(ideal) AS part, floor(ideal) AS low, 1000 - n - sum(floor(ideal)) OVER () AS missing FROM w
+), share AS (
+  SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) AS rank,
+         CAST(1 + low + CASE WHEN row_number() OVER (ORDER BY part DESC, source NULLS FIRST) <= missing THEN 1 ELSE 0 END AS BIGINT) AS share
+  FROM f
+), listed AS (
+  SELECT list(share ORDER BY rank) AS s FROM share
+), sim AS (
+  SELECT CAST(-1 AS BIGINT) AS slot, s, list_transform(s, lambda x: CAST(0 AS BIGINT)) AS given, CAST(0 AS BIGINT) AS rank FROM listed
+  UNION ALL
+  SELECT slot + 1, s, list_transform(generate_series(1, len(s)), lambda i: given[i] + CASE WHEN i = pick THEN 1 ELSE 0 END), pick
+  FROM (
+    SELECT slot, s, given, list_min(list_transform(generate_series(1, len(s)), lambda i:
+             CASE WHEN given[i] * 1000 // s[i] <= slot + 1 THEN ((given[i] + 1) * 1000 + s[i] - 1) // s[i] * 100000 + i ELSE 9000000000000000 END)) % 100000 AS pick
+    FROM sim WHERE slot < 999
+  )
+), turns AS (
+  SELECT rank, slot, given[rank] - 1 AS turn FROM sim WHERE slot >= 0
+), placed AS (
+  SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY digest, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d
+), known AS (
+  SELECT p.*, s.rank, s.share, CAST(p.start AS BIGINT) // 262144 AS k FROM placed p JOIN share s ON p.source IS NOT DISTINCT FROM s.source
+), slotted AS (
+  SELECT n.*, t.slot + k // n.share * 1000 AS turn_slot FROM known n JOIN turns t ON n.rank = t.rank AND n.k % n.share = t.turn
+)
+SELECT doc_id, source, share / 1000 AS weight, k + 1 AS block, k * 1000 // share AS release,
+       ((k + 1) * 1000 + share - 1) // share AS deadline, turn_slot AS slot,
+       row_number() OVER (ORDER BY turn_slot, start, digest, doc_id) - 1 AS position
+FROM slotted
+"""
+
+
 def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vespera.llm.quality_crf import assess
 
@@ -96,6 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
         "op2_html_text": op2_html_text,
+        "op3_pfair_mixing": op3_pfair_mixing,
         "op4_quality_crf": op4_quality_crf,
         "op5_warc": op5_warc,
         "op6_kmeans_tree": op6_kmeans_tree,
@@ -106,4 +153,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": OP5_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op3_pfair_mixing": OP3_SQL, "op5_warc": OP5_SQL, "op9_exact_dedup": OP9_SQL}
