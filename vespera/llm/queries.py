@@ -138,6 +138,12 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vespera.llm.line_dedup import deduplicate_lines
+
+    return deduplicate_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -149,6 +155,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_packing": op7_packing,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
