@@ -5,7 +5,7 @@ import random
 from vespera.llm.line_dedup import boundaries, chunks, deduplicate_lines
 
 
-def brute(rows, window=2, divisor=3):
+def brute(rows, window=2, divisor=2):
     """rows of (doc_id, text) with distinct ids; removes later copies of multi-line chunks."""
     seen, out = set(), {}
     for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
@@ -27,13 +27,13 @@ def brute(rows, window=2, divisor=3):
 def test_boundaries_inside_a_passage_resist_shifts():
     rnd = random.Random(1)
     passage = [b"line %d" % rnd.randrange(10**9) for _ in range(60)]
-    inside = {e for e in boundaries(passage, 2, 3) if 12 <= e < 60}
+    inside = {e for e in boundaries(passage, 2, 2) if 12 <= e < 60}
     assert len(inside) > 8
     for extra in (1, 2, 7):
         before = [b"other %d" % rnd.randrange(10**9) for _ in range(extra)]
-        moved = {e - extra for e in boundaries(before + passage + before, 2, 3)}
+        moved = {e - extra for e in boundaries(before + passage + before, 2, 2)}
         assert inside <= moved
-    assert boundaries([b"x"], 2, 3) == [1]
+    assert boundaries([b"x"], 2, 2) == [1]
 
 
 def test_equals_brute_force(spark):
@@ -53,7 +53,7 @@ def test_equals_brute_force(spark):
     assert out.columns == ["doc_id", "text", "n_lines", "_n_lines", "n_removed"]
     got = {r.doc_id: (r.text, r["_n_lines"], r.n_removed) for r in out.collect()}
     want = brute(rows)
-    assert got == want and sum(n for *_, n in want.values()) > 500
+    assert got == want and sum(n for *_, n in want.values()) > 400
 
 
 def test_rows_that_tie_and_empty_tables(spark):

@@ -74,7 +74,7 @@ def _chunk(batches: Iterator[pa.RecordBatch], window: int, divisor: int, min_lin
         yield pa.record_batch([batch.column(0).take(pa.array(row, pa.int64())), pa.array(first, pa.int64()), pa.array(count, pa.int64()), digest, pa.array(body, pa.binary())], ["key", "first", "lines", "h", "body"])
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 3, min_lines: int = 2) -> DataFrame:
+def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 2, min_lines: int = 2) -> DataFrame:
     """(doc_id, tkey, first, lines): the chunks to remove, by document and first line (from 0)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.struct(F.col(id_col).alias("doc_id"), text_key(text).alias("tkey")).alias("key"), text.cast("binary").alias("text"))
