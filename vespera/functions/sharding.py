@@ -46,7 +46,6 @@ def canonical_column(doc_id: Column) -> Column:
     return F.when(text.rlike("^[0-9]+$"), F.regexp_replace(text, "^0+(?=[0-9])", "")).otherwise(text)
 
 
-@F.pandas_udf("long")
 def _fnv_mod(keys: pd.Series, shards: pd.Series) -> pd.Series:
     """All keys of a batch at once, a byte position at a time."""
     raw = [b if b is not None else b"" for b in keys]
@@ -66,4 +65,4 @@ def _fnv_mod(keys: pd.Series, shards: pd.Series) -> pd.Series:
 
 def shard(namespace: str, doc_id: Column, shards: int) -> Column:
     key = F.concat(F.lit(namespace.encode()), F.lit(b"\0"), canonical_column(doc_id).cast("binary"))
-    return _fnv_mod(key, F.lit(shards))
+    return F.pandas_udf(_fnv_mod, "long")(key, F.lit(shards))
