@@ -7,11 +7,13 @@ another one closely on the boundaries inside the passage are the same.
 
 Removal. Chunks of several lines are counted over all documents. Of a chunk that occurs more than
 once the first occurrence stays (lowest id, then text key, then line) and the others are compared with it
-byte by byte; those that are equal are removed from their documents.
+byte by byte; those that are equal are removed from their documents. (The hash has 128 bits; should two different chunks
+share it, the later one stays where it is.)
 
-Scale. Texts are chunked in one pass; counts are combined before they are shuffled, so a
-chunk in a third of all documents costs one row per task. The comparison is an equi-join by chunk hash that Spark can
-split, and a document's removals are no more than its own lines.
+Scale. Texts are chunked in one pass that gives out hashes only; counts are combined before they are shuffled,
+so a chunk in a third of all documents costs one row per task. Texts are shuffled once, to meet their marked chunks; the
+comparison shuffles the bytes of marked chunks alone, in an equi-join by hash that Spark can split, and a
+document's marks are no more than its own lines.
 
 Defined results: null text counts as empty and stays so (empty); a text without a repeated chunk is returned
 unchanged; a text may become empty, its row stays; rows that tie wholly are treated alike (the first
@@ -63,50 +65,68 @@ def chunks(text: bytes, window: int, divisor: int, min_lines: int) -> Iterator[t
 
 def _chunk(batches: Iterator[pa.RecordBatch], window: int, divisor: int, min_lines: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        row, first, count, body = [], [], [], []
+        row, first, count, digest = [], [], [], []
         for i, text in enumerate(batch.column(1).to_pylist()):
             for a, n, b in chunks(text, window, divisor, min_lines):
                 row.append(i)
                 first.append(a)
                 count.append(n)
-                body.append(b)
-        digest = pa.array([xxhash.xxh3_128_hexdigest(b) for b in body], pa.string())
-        yield pa.record_batch([batch.column(0).take(pa.array(row, pa.int64())), pa.array(first, pa.int64()), pa.array(count, pa.int64()), digest, pa.array(body, pa.binary())], ["key", "first", "lines", "h", "body"])
+                digest.append(xxhash.xxh3_128_hexdigest(b))
+        yield pa.record_batch([batch.column(0).take(pa.array(row, pa.int64())), pa.array(first, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())], ["key", "first", "lines", "h"])
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the chunks that each text's list names."""
+    for batch in batches:
+        row, first, digest, stays, body = [], [], [], [], []
+        for i, (text, marked) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+            lines = text.split(b"\n")
+            for m in marked:
+                row.append(i)
+                first.append(m["first"])
+                digest.append(m["h"])
+                stays.append(m["stays"])
+                body.append(b"\n".join(lines[m["first"] : m["first"] + m["lines"]]))
+        yield pa.record_batch([batch.column(0).take(pa.array(row, pa.int64())), pa.array(first, pa.int64()), pa.array(digest, pa.string()), pa.array(stays, pa.bool_()), pa.array(body, pa.binary())], ["key", "first", "h", "stays", "body"])
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 2, min_lines: int = 2) -> DataFrame:
-    """(doc_id, tkey, first, lines): the chunks to remove, by document and first line (from 0)."""
+    """(doc_id, tkey, marked): per document its chunks that occur more than once, by hash.
+
+    ``marked`` lists first line, number of lines, hash, and whether it is the first occurrence. No text is shuffled.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.struct(F.col(id_col).alias("doc_id"), text_key(text).alias("tkey")).alias("key"), text.cast("binary").alias("text"))
     kind = source.schema["key"].dataType.simpleString()
-    found = source.mapInArrow(lambda it: _chunk(it, window, divisor, min_lines), f"key {kind}, first long, lines long, h string, body binary")
-    table = keep(found.select("key.doc_id", "key.tkey", "first", "lines", "h", "body"), "lines-chunks")
+    found = source.mapInArrow(lambda it: _chunk(it, window, divisor, min_lines), f"key {kind}, first long, lines long, h string")
+    table = keep(found.select("key.doc_id", "key.tkey", "first", "lines", "h"), "lines-chunks")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey", "first")
     counted = table.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("place"))
     often = keep(counted.where("n > 1").select("h", "place"), "lines-repeated")
     same = F.col("doc_id").eqNullSafe(F.col("place.doc_id")) & (F.col("tkey") == F.col("place.tkey")) & (F.col("first") == F.col("place.first"))
-    met = keep(table.join(often, "h").withColumn("stays", same).drop("place"), "lines-met")
-    heads = met.where("stays").select("h", F.col("body").alias("head")).dropDuplicates(["h"])
-    return met.where("not stays").join(heads, "h").where(F.col("body") == F.col("head")).select("doc_id", "tkey", "first", "lines").distinct()
+    met = table.join(often, "h").select("doc_id", "tkey", "first", "lines", "h", same.alias("stays")).distinct()
+    return met.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("first", "lines", "h", "stays")).alias("marked"))
 
 
 def _remove(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
-    """The last column holds the chunks to remove; it gives way to the counts of lines."""
+    """The last two columns hold the marked chunks and the first lines of those that differ from the first
+    occurrence after all; they give way to the counts of lines."""
     for batch in batches:
         texts, totals, gone = [], [], []
-        for text, cuts in zip(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+        *rest, marks, differ = batch.columns
+        for text, marked, other in zip(rest[text_at].to_pylist(), marks.to_pylist(), differ.to_pylist()):
             lines = (text or "").split("\n")
             totals.append(len(lines))
+            stay = set(other or ())
             kept, at = [], 0
-            for first, n in sorted((c["first"], c["lines"]) for c in cuts or ()):
+            for first, n in sorted((m["first"], m["lines"]) for m in marked or () if not m["stays"] and m["first"] not in stay):
                 kept += lines[at:first]
                 at = first + n
             kept += lines[at:]
             gone.append(len(lines) - len(kept))
             texts.append("\n".join(kept))
-        columns = list(batch.columns[:-1])
-        columns[text_at] = pa.array(texts, pa.string())
-        yield pa.record_batch([*columns, pa.array(totals, pa.int64()), pa.array(gone, pa.int64())], [str(i) for i in range(len(columns) + 2)])
+        rest[text_at] = pa.array(texts, pa.string())
+        yield pa.record_batch([*rest, pa.array(totals, pa.int64()), pa.array(gone, pa.int64())], [str(i) for i in range(len(rest) + 2)])
 
 
 def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] | None = ("n_lines", "n_removed"), **options) -> DataFrame:
@@ -115,12 +135,21 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ``counts`` names two more columns: the lines of the original text, and those removed; None leaves them out.
     Names that docs has already are prefixed by an underscore.
     """
-    cuts = repeated_chunks(docs, id_col, text_col, **options).groupBy(F.col("doc_id").alias("_i"), F.col("tkey").alias("_k")).agg(F.collect_list(F.struct("first", "lines")).alias("_cuts"))
-    cuts = keep(cuts, "lines-cuts")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    marks = repeated_chunks(docs, id_col, text_col, **options).withColumnsRenamed({"doc_id": "_i", "tkey": "_k", "marked": "_marked"})
     key = fit_name(docs, "_tkey")
-    keyed = docs.withColumn(key, text_key(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = keyed.join(cuts, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col(key) == F.col("_k")), "left")
-    out = joined.select(*[F.col(f"`{c}`") for c in docs.columns], "_cuts")
+    keyed = docs.withColumn(key, text_key(text))
+    same = F.col(id_col).eqNullSafe(F.col("_i")) & (F.col(key) == F.col("_k"))
+    joined = keep(keyed.join(marks, same, "left").drop("_i", "_k"), "lines-marked")  # texts are shuffled here alone
+
+    # Marked chunks against the first occurrence, byte by byte.
+    source = joined.where("_marked is not null").select(F.struct(F.col(f"`{id_col}`").alias("doc_id"), F.col(key).alias("tkey")).alias("key"), text.cast("binary").alias("text"), "_marked")
+    kind = source.schema["key"].dataType.simpleString()
+    bodies = keep(source.mapInArrow(_bodies, f"key {kind}, first long, h string, stays boolean, body binary"), "lines-bodies")
+    heads = bodies.where("stays").select("h", F.col("body").alias("head")).dropDuplicates(["h"])
+    differ = bodies.where("not stays").join(heads, "h").where(F.col("body") != F.col("head"))
+    differ = keep(differ.groupBy(F.col("key.doc_id").alias("_i"), F.col("key.tkey").alias("_k")).agg(F.collect_set("first").alias("_differ")), "lines-differ")
+    out = joined.join(differ, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_marked", "_differ")
     total, gone = (fit_name(docs, c) for c in counts or ("n_lines", "n_removed"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = docs.columns.index(text_col)
