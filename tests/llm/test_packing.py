@@ -28,7 +28,7 @@ ENCODER, WHOLE = Encoder(PATH), Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.one_of(st.text(max_size=6), st.sampled_from([" ", "\n", " ", "́", " ", "<|endoftext|>", "it's", "ΑΣ", "\x1c", "é"])), max_size=12).map("".join))
+@given(st.lists(st.one_of(st.text(max_size=6), st.sampled_from([" ", "\n", " ", "́", " ", "<|endoftext|>", "it's", "Word.,", "ÉtÉ!!", "a—.", "x×,", "7%", "It'S", "<|ENDOFTEXT|>", "İ", "a.b", "...", "é|", "ΑΣ", "\x1c", "é"])), max_size=12).map("".join))
 def test_ids_are_those_of_the_whole_text(text):
     got = np.frombuffer(ENCODER.ids(text.encode()), "<u4").tolist()
     assert got == WHOLE.encode(text, add_special_tokens=False).ids + [1]

@@ -19,8 +19,9 @@ each; a null id is kept; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIMS, BITS = 4, 8
-BINS = 1 << 12
+BINS = 1 << 9
 END_ID = 1
-CACHE_BYTES = 48 << 20
+#: Words and stems that a worker remembers: two generations of each, of this many.
+CACHE_WORDS = 250_000
 CHUNK = 1 << 20
 
 
@@ -83,7 +85,7 @@ def document_vector(text: bytes) -> np.ndarray:
     for i in range(0, len(raw) - 3, CHUNK):
         a = raw[i : i + CHUNK + 3].astype(np.uint32)
         gram = a[:-3] | a[1:-2] << np.uint32(8) | a[2:-1] << np.uint32(16) | a[3:] << np.uint32(24)
-        out += np.bincount((gram * np.uint32(2654435761)) >> np.uint32(20), minlength=BINS)
+        out += np.bincount((gram * np.uint32(2654435761)) >> np.uint32(23), minlength=BINS)
     return out
 
 
@@ -91,37 +93,88 @@ def curve_keys(texts: list[bytes]) -> np.ndarray:
     """Hilbert keys of some documents: square-rooted counts, unit length, projected and spread evenly."""
     if not texts:
         return np.zeros(0, np.int64)
-    out = np.empty((len(texts), DIMS))
+    v = np.empty((len(texts), BINS))
     for i, t in enumerate(texts):
-        v = np.sqrt(document_vector(t))
-        out[i] = (v / np.sqrt((v**2).sum())) @ directions()
+        v[i] = document_vector(t)
+    np.sqrt(v, out=v)
+    out = (v @ directions()) / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
     even = 1 / (1 + np.exp(-1.7 * out))  # near the normal distribution function
     return hilbert_index(np.minimum((even * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
 
+class _Generations:
+    """A bounded memory: what is not asked for during a whole generation is forgotten."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys: Iterable[bytes]) -> list[bytes]:
+        """The keys (each once) that are not known; known ones are in ``young`` afterwards."""
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+        young, old, out = self.young, self.old, []
+        for k in dict.fromkeys(keys):
+            if k not in young:
+                if (v := old.get(k)) is not None:
+                    young[k] = v
+                else:
+                    out.append(k)
+        return out
+
+
+#: Text that ends in a letter or digit, followed by plain punctuation: two tokens' worth at least, cut there.
+_TAIL = re.compile(rb"(.*(?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,;:!?|%#$&*]*)", re.S)
+
+
 class Encoder:
-    """Token ids of whole texts. White space ends every token of this kind of tokenizer, so words are
-    encoded once and kept, up to CACHE_BYTES."""
+    """Token ids of whole texts.
+
+    White space ends every token of this kind of tokenizer, letters and punctuation are never in one token, and
+    letter case is ignored; so words, and below them their stems, are encoded once and remembered.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.size = 0
+        self.words, self.stems = _Generations(CACHE_WORDS), _Generations(CACHE_WORDS)
 
     def ids(self, text: bytes) -> bytes:
         """The ids as little-endian 32-bit numbers, the end id included."""
         words = text.split()
-        if self.size > CACHE_BYTES:
-            self.known, self.size = {}, 0
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        if new := self.words.missing(words):
+            self._learn(new)
+        return b"".join([*map(self.words.young.__getitem__, words), END_ID.to_bytes(4, "little")])
+
+    def _learn(self, words: list[bytes]) -> None:
+        parts = []
+        for w in words:
+            m = None if b"<|" in w else _TAIL.fullmatch(w)
+            parts.append((m[1].lower(), m[2]) if m else (w, b""))
+        new = self.stems.missing(p for pair in parts for p in pair if p)
+        known = self.stems.young
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-                self.size += 2 * len(w) + 150
-        return b"".join([*map(self.known.__getitem__, words), END_ID.to_bytes(4, "little")])
+            whole = self.tokenizer.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(whole.ids, "<u4").tobytes()
+            ends = np.searchsorted(np.array(whole.word_ids, np.int64), np.arange(len(part)), side="right") * 4
+            at = 0
+            for w, end in zip(part, ends.tolist()):
+                known[w] = ids[at:end]
+                at = end
+        young = self.words.young
+        for w, (stem, tail) in zip(words, parts):
+            young[w] = known[stem] + known[tail] if tail else known[stem]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder outlives its tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 class Packer:
@@ -175,7 +228,6 @@ FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, length: int, with_ids: bool, id_type: pa.DataType | None = None) -> Iterator[pa.RecordBatch]:
-    encoder = None
     packer = Packer(TaskContext.get().partitionId() << 40, length)
     names = [*FIELDS, "ids"] if with_ids else list(FIELDS)
     kind = pa.int64()
@@ -193,8 +245,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, length: int, with_ids: b
     for batch in batches:
         kind = batch.column(0).type
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            encoder = encoder or Encoder(path)
-            for piece in packer.add(doc_id, encoder.ids(text or b"")):
+            for piece in packer.add(doc_id, encoder_of(path).ids(text or b"")):
                 pieces.append(piece)
                 size += piece[2]
                 if size >= CHUNK:
