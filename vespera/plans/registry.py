@@ -418,3 +418,10 @@ def gen_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("embed_documents")
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.embed_texts(table(spark, sf_dir, "documents"))
+
+
+@query("labelled_queries", "SELECT event_type || '-' || CAST(user_id % 50 AS VARCHAR) AS query, list_sort(list(DISTINCT user_id)) AS relevant FROM events WHERE user_id IN (SELECT vec_id FROM embeddings) GROUP BY 1")
+def labelled_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event kinds as query texts, users as the paths that the corpus may hold."""
+    history = table(spark, sf_dir, "events").select(F.concat_ws("-", "event_type", (F.col("user_id") % 50).cast("string")).alias("subject"), F.col("user_id").alias("path"))
+    return ingest.labelled_queries(history, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("path")))

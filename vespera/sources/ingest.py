@@ -87,3 +87,14 @@ def question_pairs(turns: DataFrame) -> DataFrame:
     a = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     b = turns.where("role <> 'user'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     return a.join(b, ["conv_id", "turn"])
+
+
+def labelled_queries(history: DataFrame, corpus: DataFrame, limit: int | None = None) -> DataFrame:
+    """(query, relevant): subjects of a history (subject, path) with those of their paths that the corpus (path) holds.
+
+    A subject that occurs more than once is one query; subjects without a path in the corpus are left out. With a
+    limit the first subjects by text are taken.
+    """
+    known = history.select("subject", "path").distinct().join(corpus.select("path").distinct(), "path", "left_semi")
+    out = known.groupBy(F.col("subject").alias("query")).agg(F.array_sort(F.collect_set("path")).alias("relevant"))
+    return out.orderBy("query").limit(limit) if limit else out
