@@ -27,6 +27,7 @@ WANT = "A & B\none two three four five\nsix"
         ARTICLE.replace("<article>", "<div class='post-content has-sidebar'>").replace("</article>", "</div>") + "<div class=sidebar>x</div>",
         f"<body class='no-sidebar'><div class='wrapper has-ads'>{ARTICLE}</div></body>",
         ARTICLE.replace("<article>", "<article><header><h1>A &amp; B</h1><p>by me</p></header>").replace("</header><h1>A &amp; B</h1>", "</header>"),
+        ARTICLE.replace("<h1>A &amp; B</h1>", "<div class='article-header'><h1>A &amp; B</h1><span>share</span></div>"),
         ARTICLE.replace("<p>six", "<p>six<section class=comments><article><p>a much longer comment than the text of the article is</p></article></section>"),
         f"<!-- <article>no</article> --><noscript>turn on</noscript><template>t</template>{ARTICLE}",
     ],

@@ -65,5 +65,6 @@ def test_interleave_keeps_rows_and_columns(spark):
     out = interleave(docs)
     assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
     assert interleave(docs.limit(0)).count() == 0 and mix(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        mix(docs, period=4)
+    many = spark.createDataFrame([(i, f"s{i}", "x") for i in range(9)], "doc_id long, source string, text string")
+    got = mix(many, period=4).collect()
+    assert sorted(r.position for r in got) == list(range(9)) and {r.weight for r in got} <= {1 / 32, 2 / 32, 3 / 32, 4 / 32}

@@ -40,7 +40,7 @@ def test_features_do_not_depend_on_slabs(monkeypatch):
     monkeypatch.setattr(q, "SLAB", 512)
     parts = q.line_features(texts)
     assert whole[0].shape[1] == q.N_FEATURES
-    cut_word = [q.OWN.index(c) for c in ("word_length", "repeats")]
+    cut_word = [q.OWN.index(c) for c in ("repeats",)]
     keep = [i for i in range(q.N_FEATURES) if i not in cut_word]
     assert np.allclose(whole[0][:3], parts[0][:3]) and np.allclose(whole[0][:, keep][:6, :6], parts[0][:, keep][:6, :6], atol=1e-2)
 

@@ -109,8 +109,10 @@ def _verified(docs: DataFrame, repeated: DataFrame) -> DataFrame | None:
     Round r joins the texts still unplaced with the head of link r (the least text key of each
     chain) and keeps those that differ. None means that every chain has one link.
     """
-    rows = docs.join(repeated.select("h", "sha"), ["h", "sha"], "left_semi").select("h", "sha", "norm", "tkey")
-    heads = rows.groupBy("h", "sha").agg(F.min_by("norm", "tkey").alias("head"))
+    # Both written first: heads are elected per task before a hot chain's rows are shuffled, and the join
+    # has two plain sides, of which Spark can split a hot chain's.
+    rows = keep(docs.join(repeated.select("h", "sha"), ["h", "sha"], "left_semi").select("h", "sha", "norm", "tkey"), "dedup-chained")
+    heads = keep(rows.groupBy("h", "sha").agg(F.min_by("norm", "tkey").alias("head")), "dedup-heads")
     differ = rows.join(heads, ["h", "sha"]).where(F.col("norm") != F.col("head")).select("h", "sha", "norm", "tkey")
     left = Kept(differ, "dedup-chain")
     found, link = None, 0
@@ -150,7 +152,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     else:
         rows = rows.join(links, ["h", "sha", "tkey"], "left").fillna(0, ["link"])
     order = F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id", "tkey", "uid")
-    best = rows.groupBy("h", "sha", "link").agg(F.count("*").alias("group_size"), F.min(order).alias("best"))
+    best = keep(rows.groupBy("h", "sha", "link").agg(F.count("*").alias("group_size"), F.min(order).alias("best")), "dedup-best")
     out = rows.join(best, ["h", "sha", "link"])
     return out.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), F.col("sha").alias("text_sha256"), "tkey")
 

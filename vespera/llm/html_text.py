@@ -38,7 +38,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 UNSEEN = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select option datalist button map".split())
 SIDE = frozenset("nav header footer aside form menu dialog search".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-SIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adslot adbox banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus footer form gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended recommendations related replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar trending widget widgets".split())
+SIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adslot adbox banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus footer form gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended recommendations related replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar trending widget widgets".split())
 MAIN_WORDS = frozenset("article articlebody content entry maincontent post postbody story".split())
 CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"])}
 STOPS = frozenset("table ul ol dl div section article main body html blockquote aside nav header footer form fieldset".split())
@@ -51,10 +51,11 @@ _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "side", "main", "kids", "hash")
+    __slots__ = ("tag", "side", "main", "head", "kids", "hash")
 
-    def __init__(self, tag: str, side: bool = False, main: bool = False):
+    def __init__(self, tag: str, side: bool = False, main: bool = False, head: bool = False):
         self.tag, self.side, self.main = tag, side, main
+        self.head = head  # a header by its tag or class, whose headings may title an article
         self.kids: list = []  # texts and nodes, in page order
         self.hash = 0
 
@@ -123,10 +124,12 @@ class _Tree:
 
     def start(self, tag: str, attrs: str) -> None:
         side, main = tag in SIDE or tag in UNSEEN, tag in ("article", "main")
+        head = tag == "header"
         if attrs and tag not in ("a", "html", "body", "meta", "img") and _TELLING.search(attrs):
             d = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in reversed([*_ATTRIBUTE.finditer(attrs)])}
             role = d.get("role", "").lower()
             words = _words(d) if tag not in HEADINGS and ("class" in d or "id" in d) else ()
+            head = head or bool(words) and words & SIDE_WORDS == {"header"}
             hidden = "hidden" in d or d.get("aria-hidden") == "true" or "display:none" in d.get("style", "").replace(" ", "").lower()
             side = side or hidden or role in SIDE_ROLES or bool(words and words & SIDE_WORDS)
             main = main or role in ("main", "article") or d.get("itemprop") == "articleBody" or bool(words and not side and words & MAIN_WORDS)
@@ -149,7 +152,7 @@ class _Tree:
         elif not (side or main):
             if tag in ("noscript", "a", "span", "b", "i", "em", "strong", "u"):
                 return  # inline formatting carries no structure
-        node = Node(tag, side, main)
+        node = Node(tag, side, main, head)
         self.stack[-1].kids.append(node)
         self.stack.append(node)
         self.names.append(tag)
@@ -265,7 +268,7 @@ def blocks(html: str) -> list[tuple[str, bool, list[int]]]:
             beside, head = False, False  # the title in an article's own header is text
         else:
             beside = side or kid.side and id(kid) not in above
-            head = titled or inside and not side and kid.tag == "header"
+            head = titled or inside and not side and kid.head
         if kid.tag in BLOCKS or beside != side:
             flush(side, chain)
         may_go = kid.hash and id(kid) not in above and not (within and not beside and kid.tag in RUNNING)

@@ -104,8 +104,9 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counted = table.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("place"))
     often = keep(counted.where("n > 1").select("h", "place"), "lines-repeated")
     same = F.col("doc_id").eqNullSafe(F.col("place.doc_id")) & (F.col("tkey") == F.col("place.tkey")) & (F.col("first") == F.col("place.first"))
-    met = table.join(often, "h").select("doc_id", "tkey", "first", "lines", "h", same.alias("stays")).distinct()
-    return met.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("first", "lines", "h", "stays")).alias("marked"))
+    # Written, so that Spark can split the join at a very common chunk before rows are grouped by document.
+    met = keep(table.join(often, "h").select("doc_id", "tkey", "first", "lines", "h", same.alias("stays")), "lines-met")
+    return met.distinct().groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("first", "lines", "h", "stays")).alias("marked"))
 
 
 def _remove(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:

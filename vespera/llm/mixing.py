@@ -8,7 +8,8 @@ Schedule. With weight w block k (from 1) is released at slot floor((k - 1) / w)
 slot ceil(k / w). Each slot takes the released block that is due first (ties: the lower
 source). Weights are whole multiples of 1 / ``period`` that sum to 1, so releases and deadlines
 repeat after ``period`` slots and the schedule of one period is all that has to be worked out: it is a
-fold over ``period`` slots whose size the parameters bound, whatever the size of the corpus. Every deadline is
+fold over ``period`` slots, whatever the size of the corpus (with more sources than half of them the period is doubled
+until it is long enough). Every deadline is
 met, and no source ever deviates by a block or more from its share while no source has run out. When a source has run out
 its slots stay unused, which leaves the others' proportions as they are. Every
 document is mixed exactly once; none is dropped or repeated.
@@ -93,7 +94,7 @@ def schedule(share: DataFrame, period: int) -> DataFrame:
     return listed.where(F.size("s") > 0).select(F.explode(slots).alias("x")).select("x.rank", "x.turn", "x.slot")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = 1 << 18, period: int = 1000, temperature: float = 0.5, range_chars: int = 1 << 24, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = 1 << 18, period: int = 1000, temperature: float = 0.5, range_chars: int = 1 << 21, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """One row per document: its source, block, release, deadline and slot, and its place in the mix.
 
     ``position`` counts from 0 over all documents in mix order.
@@ -102,8 +103,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: i
     digest = F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit(""))
     rows = keep(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), digest.alias("digest")), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("size"))
-    if len(weights or ()) > period // 2 or sizes.count() > period // 2:
-        raise ValueError("the period must be at least twice the number of sources")
+    sources = sizes.count()
+    while period < 2 * sources:
+        period *= 2
     share = keep(shares(sizes, weights, temperature, period), "mix-shares")
     turns = keep(schedule(share, period), "mix-turns")
 

@@ -34,7 +34,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 SLAB = 1 << 20
 FOLDS = 5
 #: Names of a line's own figures, in the order of the columns.
-OWN = ("symbols", "upper", "digits", "bars", "bangs", "log_length", "word_length", "repeats", "same_as_before", "stops", "letters_only")
+OWN = ("symbols", "upper", "bars", "bangs", "log_length", "repeats", "same_as_before", "stops", "letters_only")
 NEAR = ("symbols", "upper", "bars", "bangs", "repeats", "same_as_before", "log_length")
 N_FEATURES = len(OWN) + 2 * len(NEAR) + 3
 
@@ -62,7 +62,10 @@ def _pieces(line: str) -> Iterator[str]:
 
 
 def _counts(pieces: list[str]) -> np.ndarray:
-    """Per piece: characters, symbols, capitals, digits, bars, bangs, words, word characters, repeated words, stops."""
+    """Per piece: characters, symbols, capitals, digits, bars, bangs, words, word characters, repeated words, stops.
+
+    Digits and word lengths are no features: they would mark documents that hold identifiers.
+    """
     cls_of, mix = _char_tables()
     cp = np.frombuffer("".join(p + "\n" for p in pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
@@ -111,7 +114,7 @@ def _own(lines: list[str], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     before = np.zeros(len(lines))
     before[1:] = [a == b and a != "" for a, b in zip(lines[1:], lines[:-1])]
     before[first] = 0
-    x = np.stack([raw[:, 1] / n, raw[:, 2] / n, raw[:, 3] / n, raw[:, 4] / words, np.minimum(raw[:, 5] / words, 3), np.log1p(raw[:, 0]) / 5, np.minimum(raw[:, 7] / words, 30) / 6, raw[:, 8] / words, before, raw[:, 9] / words, (raw[:, 1] + raw[:, 3] + raw[:, 5] == 0)], 1)
+    x = np.stack([raw[:, 1] / n, raw[:, 2] / n, raw[:, 4] / words, np.minimum(raw[:, 5] / words, 3), np.log1p(raw[:, 0]) / 5, raw[:, 8] / words, before, raw[:, 9] / words, (raw[:, 1] + raw[:, 3] + raw[:, 5] == 0)], 1)
     return x, raw[:, 0]
 
 

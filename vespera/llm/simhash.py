@@ -192,7 +192,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = nodes.join(member, "fp")
     name = linked.groupBy("root").agg(F.min("first").alias("least"))
     named = linked.join(name, "root").select("fp", "least")
-    table = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # Written, so that the last join has two plain sides, of which Spark can split a hot fingerprint's.
+    table = keep(nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "simhash-names")
     return rows.join(table, "fp").select("doc_id", "fp", "component_id", "tkey")
 
 
