@@ -1,0 +1,72 @@
+"""Repeated passages of lines against brute force: whatever their length and surroundings, whole."""
+
+import random
+
+import pytest
+
+from vespera.llm.line_dedup import deduplicate_lines, deduplicate_passages
+
+
+def brute(rows, min_words=10):
+    """rows of (doc_id, text) with distinct ids and no blank lines."""
+    long = lambda line: len(line.split()) >= min_words or len(line.encode()) >= 10 * min_words
+    spans = {}
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    for d, (_, text) in enumerate(rows):
+        lines = (text or "").split("\n")
+        for i, line in enumerate(lines):
+            if line.strip() and long(line):
+                spans.setdefault((line,), []).append((d, i, i + 1))
+            if i + 1 < len(lines) and not (long(line) and long(lines[i + 1])):
+                spans.setdefault((line, lines[i + 1]), []).append((d, i, i + 2))
+    later, first = set(), set()
+    for places in spans.values():
+        if len(places) > 1:
+            first.update((places[0][0], i) for i in range(*places[0][1:]))
+            later.update((d, i) for d, a, b in places[1:] for i in range(a, b))
+    return {i: "\n".join(line for k, line in enumerate((t or "").split("\n")) if (d, k) not in later or (d, k) in first) for d, (i, t) in enumerate(rows)}
+
+
+def test_equals_brute_force(spark):
+    rnd = random.Random(2)
+    pool = [f"line number {i} of the pool" + " and more of its words" * (i % 3) for i in range(400)]
+    rows = []
+    for i in range(300):
+        lines = [rnd.choice(pool) for _ in range(rnd.randrange(1, 25))]
+        if i % 3 == 0:
+            lines[len(lines) // 2 : 0] = pool[:12]
+        rows.append((i, "\n".join(lines)))
+    rows += [(1000, None), (1001, ""), (1004, "\n".join(["ä"] * 50_000)), (None, "\n".join(pool[:12])), (1005, "one line only")]
+    docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, n_lines int")
+    out = deduplicate_passages(docs)
+    assert out.columns == ["doc_id", "text", "n_lines", "_n_lines", "n_removed"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert {i: r.text for i, r in got.items()} == brute(rows) and len(got[1004].text) == 3
+    assert sum(r.n_removed for r in got.values()) > 400
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 6, 12])
+def test_passages_inside_unrelated_lines_go_whole(spark, n):
+    rnd = random.Random(n)
+    line = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(12 if n == 1 else rnd.choice([3, 12])))
+    rows, want = [], {}
+    for i in range(0, 60, 2):
+        passage = [line() for _ in range(n)]
+        a, b, c, d = ([line() for _ in range(5)] for _ in range(4))
+        rows += [(i, "\n".join(a + passage + b)), (i + 1, "\n".join(c + passage + d))]
+        want |= {i: rows[-2][1], i + 1: "\n".join(c + d)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in deduplicate_passages(docs).collect()} == want
+    if n == 1:
+        assert all(r.n_removed == 0 for r in deduplicate_lines(docs).collect())
+
+
+def test_blank_lines_ties_empty_tables_and_shared_hashes(spark):
+    long = "one two three four five six seven eight nine ten"
+    rows = [(1, f"a\n\n{long}\n\nb"), (1, f"a\n\n{long}\n\nb"), (2, f"c\n\n{long}\n \nd"), (3, "\n\n\n"), (4, "\n\n\n"), (5, f"{long}!\nx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in deduplicate_passages(docs, counts=None).collect())
+    assert got == sorted([*rows[:2], (2, "c\n\nd"), *rows[3:]])
+    weak = deduplicate_passages(docs, counts=None, digest=lambda b: b[:9].ljust(16))
+    assert sorted((r.doc_id, r.text) for r in weak.collect()) == sorted(rows)
+    assert deduplicate_passages(docs.limit(0)).count() == 0

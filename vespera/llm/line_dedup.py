@@ -1,6 +1,16 @@
-"""Line deduplication by content-defined chunks of lines.
+"""Line deduplication: exact repeated passages (the query's way), and content-defined chunks of lines.
 
-Chunks. Each line is hashed, and a rolling hash runs over the last ``window`` line hashes; where it is 0 modulo
+Passages (``deduplicate_passages``). A passage is one line of ``min_words`` words (or ten bytes for each of
+them, for scripts without spaces), or two successive lines of which one is shorter; longer ones are chains of these units, so
+no passage is missed however its surroundings differ, and none keeps its edges. Lines of white space are passed over.
+A line goes when a unit that holds it has occurred before (lower id, then text key, then line), unless it belongs to
+the first occurrence of another repeated unit: of each repeated passage a whole copy stays. Blank lines
+go with the line they follow. A unit's key is the 128-bit hashes of its lines; every line of
+a repeated unit is compared with the others of its hash byte by byte, and units with a line whose hash
+two different lines share are not touched. Only hashes are shuffled, distinct lines for the comparison (once a task), and each
+text once.
+
+Chunks (``deduplicate_lines``; misses most short passages and the edges of long ones). Each line is hashed, and a rolling hash runs over the last ``window`` line hashes; where it is 0 modulo
 ``divisor`` a chunk of at least ``min_lines`` lines ends after that line. Boundaries thus depend on nearby lines:
 however many lines are put in or taken out before a passage, from the first candidate that does not follow
 another one closely on the boundaries inside the passage are the same.
@@ -22,7 +32,7 @@ occurrence stays in each); null ids come last; extra columns are kept; an empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -156,3 +166,115 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     at = docs.columns.index(text_col)
     done = out.mapInArrow(lambda it: _remove(it, at), f"{fields}, `{total}` long, `{gone}` long")
     return done if counts else done.drop(total, gone)
+
+
+def units(text: bytes, min_words: int, digest: Callable[[bytes], bytes] = xxhash.xxh3_128_digest) -> Iterator[tuple[int, bool, bytes]]:
+    """(first line, whether it is a pair, key) of each unit: long lines, and successive lines not both long."""
+    lines = [(i, line) for i, line in enumerate(text.split(b"\n")) if line.strip()]
+    before: tuple[int, bool, bytes] | None = None
+    for i, line in lines:
+        h, long = digest(line), len(line) >= 10 * min_words or len(line.split()) >= min_words
+        if before and not (long and before[1]):
+            yield before[0], True, before[2] + h
+        if long:
+            yield i, False, h
+        before = i, long, h
+
+
+def _units(batches: Iterator[pa.RecordBatch], min_words: int, digest: Callable[[bytes], bytes]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, first, pair, key = [], [], [], []
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            for a, p, h in units(text, min_words, digest):
+                row.append(i)
+                first.append(a)
+                pair.append(p)
+                key.append(h)
+        yield pa.record_batch([batch.column(0).take(pa.array(row, pa.int64())), pa.array(first, pa.int64()), pa.array(pair, pa.bool_()), pa.array(key, pa.binary())], ["key", "first", "pair", "h"])
+
+
+def _unit_marks(table: DataFrame) -> DataFrame:
+    """(_i, _k, _marked): per document its repeated units as first line * 4 + pair * 2 + first occurrence."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey", "first")
+    often = keep(table.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("place")).where("n > 1").select("h", "place"), "lines-repeated")
+    same = F.col("doc_id").eqNullSafe(F.col("place.doc_id")) & (F.col("tkey") == F.col("place.tkey")) & (F.col("first") == F.col("place.first"))
+    code = F.col("first") * 4 + F.col("pair").cast("long") * 2 + same.cast("long")
+    # Written, so that Spark can split the join at a very common unit before rows are grouped by document.
+    met = keep(table.join(often, "h").select(F.col("doc_id").alias("_i"), F.col("tkey").alias("_k"), code.alias("code")), "lines-met")
+    return met.groupBy("_i", "_k").agg(F.collect_set("code").alias("_marked"))
+
+
+def _followers(lines: list) -> dict[int, int]:
+    """The next line that is not blank, for each such line."""
+    at = [i for i, line in enumerate(lines) if line.encode().strip()]
+    return dict(zip(at, at[1:]))
+
+
+def _marked_lines(batches: Iterator[pa.RecordBatch], digest: Callable[[bytes], bytes]) -> Iterator[pa.RecordBatch]:
+    """The distinct lines of repeated units, by hash."""
+    for batch in batches:
+        found: set[bytes] = set()
+        for text, marked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            lines = text.split("\n")
+            after = _followers(lines)
+            found.update(lines[i].encode() for m in marked for i in ((m >> 2, after[m >> 2]) if m & 2 else (m >> 2,)))
+        bodies = list(found)
+        yield pa.record_batch([pa.array([digest(b) for b in bodies], pa.binary()), pa.array(bodies, pa.binary())], ["h", "body"])
+
+
+def _remove_units(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
+    """The last column holds the marks; it gives way to the counts of lines."""
+    for batch in batches:
+        texts, totals, gone = [], [], []
+        *rest, marks = batch.columns
+        for text, marked in zip(rest[text_at].to_pylist(), marks.to_pylist()):
+            lines = (text or "").split("\n")
+            kept = lines
+            if marked:
+                after = _followers(lines)
+                later, stay = set(), set()
+                for m in marked:
+                    (stay if m & 1 else later).update((m >> 2, after[m >> 2]) if m & 2 else (m >> 2,))
+                kept, going = [], False
+                for i, line in enumerate(lines):
+                    if i in later and i not in stay:
+                        going = True
+                    elif line.encode().strip():
+                        going = False
+                    if not going:
+                        kept.append(line)
+            totals.append(len(lines))
+            gone.append(len(lines) - len(kept))
+            texts.append("\n".join(kept))
+        rest[text_at] = pa.array(texts, pa.string())
+        yield pa.record_batch([*rest, pa.array(totals, pa.int64()), pa.array(gone, pa.int64())], [str(i) for i in range(len(rest) + 2)])
+
+
+def deduplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] | None = ("n_lines", "n_removed"), min_words: int = 10, digest: Callable[[bytes], bytes] = xxhash.xxh3_128_digest) -> DataFrame:
+    """All rows and columns with every repeated passage removed from the text; ``counts`` as in deduplicate_lines."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    short_key = F.unhex(F.md5(text.cast("binary")))
+    source = docs.select(F.struct(F.col(id_col).alias("doc_id"), short_key.alias("tkey")).alias("key"), text.cast("binary").alias("text"))
+    kind = source.schema["key"].dataType.simpleString()
+    found = source.mapInArrow(lambda it: _units(it, min_words, digest), f"key {kind}, first long, pair boolean, h binary")
+    table = keep(found.select("key.doc_id", "key.tkey", "first", "pair", "h"), "lines-units")
+    key = fit_name(docs, "_tkey")
+    keyed = docs.withColumn(key, short_key)
+    same = F.col(id_col).eqNullSafe(F.col("_i")) & (F.col(key) == F.col("_k"))
+
+    def marked(rows: DataFrame) -> DataFrame:
+        return keep(keyed.join(_unit_marks(rows), same, "left").drop("_i", "_k", key), "lines-marked")  # texts are shuffled here alone
+
+    joined = marked(table)
+    bodies = joined.where("_marked is not null").select(text.alias("text"), "_marked").mapInArrow(lambda it: _marked_lines(it, digest), "h binary, body binary")
+    shared = keep(bodies.distinct().groupBy("h").count().where("count > 1").select(F.col("h").alias("bad")), "lines-shared")
+    if shared.take(1):  # different lines with one hash: without their units
+        for at in (1, 17):
+            table = table.join(shared, F.substring("h", at, 16) == F.col("bad"), "left_anti")
+        joined = marked(table)
+    total, gone = (fit_name(docs, c) for c in counts or ("n_lines", "n_removed"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    at_text = docs.columns.index(text_col)
+    out = joined.select(*[F.col(f"`{c}`") for c in docs.columns], "_marked")
+    done = out.mapInArrow(lambda it: _remove_units(it, at_text), f"{fields}, `{total}` long, `{gone}` long")
+    return done if counts else done.drop(total, gone)

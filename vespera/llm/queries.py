@@ -139,9 +139,9 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vespera.llm.line_dedup import deduplicate_lines
+    from vespera.llm.line_dedup import deduplicate_passages
 
-    return deduplicate_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return deduplicate_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
