@@ -262,14 +262,16 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*batch.columns, pa.array(keys)], [*batch.schema.names, "curve"])
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, run_col: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
-    ``tokenizer`` is the path of a tokenizer file that every executor can read.
+    ``tokenizer`` is the path of a tokenizer file that every executor can read. ``run_col`` names a column of
+    whole numbers that comes before the place on the curve, as the runs of a mix.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    keyed = rows.mapInArrow(_keyed, "doc_id long, text binary, curve long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *([F.col(run_col).cast("long").alias("run")] if run_col else []))
+    run = ["run"] if run_col else []
+    keyed = rows.mapInArrow(_keyed, "doc_id long, text binary" + (", run long" if run_col else "") + ", curve long")
     spread = F.xxhash64("doc_id")
-    ordered = keyed.repartitionByRange("curve", spread).sortWithinPartitions("curve", spread, "doc_id").select("doc_id", "text")
+    ordered = keyed.repartitionByRange(*run, "curve", spread).sortWithinPartitions(*run, "curve", spread, "doc_id").select("doc_id", "text")
     schema = ", ".join(f"{n} long" for n in FIELDS) + (", ids array<int>" if with_ids else "")
     return ordered.mapInArrow(lambda it: _pack(it, tokenizer, length, with_ids), schema)
