@@ -67,6 +67,8 @@ def _words(attrs: dict) -> set[str]:
 
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: What ends a tag, or opens a quoted value.
+_VALUE = re.compile(r""">|=\s*["']""")
 _TELLING = re.compile("class|id|role|hidden|style|itemprop", re.I)
 #: Elements whose content is not markup, with what ends them.
 _RAW = {t: re.compile(f"</{t}(?=[\\s/>])[^>]*>?", re.I) for t in ("script", "style", "title", "textarea", "noembed", "noframes", "xmp", "iframe")}
@@ -79,7 +81,7 @@ class _Tree:
         self.root = Node("html")
         self.stack = [self.root]
         self.names = ["html"]
-        self.gt = -1
+        self.open: dict[str, int] = {}  # by quote: a tag from which on no value in it is closed
         at = done = 0
         while (lt := page.find("<", at)) >= 0:
             at = lt + 1
@@ -107,17 +109,25 @@ class _Tree:
             self.text(page[done:])
 
     def tag_end(self, page: str, lt: int) -> int:
-        """Where the tag ends: the first ">" outside quotes; a quote that stays open is not one."""
-        first = end = self.gt if self.gt > lt else page.find(">", lt)
-        for _ in range(8):
-            if end < 0:
-                break
-            if page.count('"', lt, end) % 2 == 0 and page.count("'", lt, end) % 2 == 0:
-                self.gt = end
+        """Where the tag ends: the first ">" outside quoted values; a quote that stays open is not one."""
+        end = page.find(">", lt)
+        if end < 0:
+            return len(page)
+        if page.find('"', lt, end) < 0 and page.find("'", lt, end) < 0:
+            return end
+        at = lt
+        while m := _VALUE.search(page, at):
+            if m[0] == ">":
+                return m.start()
+            quote = m[0][-1]
+            if lt > self.open.get(quote, len(page)):
+                close = -1  # no such quote follows
+            elif (close := page.find(quote, m.end())) < 0:
+                self.open[quote] = lt
+            if close < 0:
                 return end
-            end = page.find(">", end + 1)
-        self.gt = first if first >= 0 else len(page)
-        return self.gt
+            at = close + 1
+        return end
 
     def text(self, data: str) -> None:
         self.stack[-1].kids.append(unescape(data) if "&" in data else data)
@@ -136,6 +146,9 @@ class _Tree:
         if tag in VOID:
             self.stack[-1].kids.append(Node(tag) if tag in BLOCKS else " ")
             return
+        if "head" in self.names[:8] and (tag == "body" or tag in BLOCKS and tag != "html"):
+            k = self.names.index("head")  # its end tag may be left out
+            del self.stack[k:], self.names[k:]
         if tag in ("html", "body"):
             return
         if tag in BLOCKS:
