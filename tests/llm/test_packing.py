@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from vespera.llm.packing import Encoder, Packer, curve_keys, hilbert_index, pack
+from vespera.llm.packing import Encoder, Packer, curve_keys, hilbert_index, pack, splits_words
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -34,6 +34,28 @@ def test_ids_are_those_of_the_whole_text(text):
     assert got == WHOLE.encode(text, add_special_tokens=False).ids + [1]
 
 
+@pytest.mark.parametrize("text", ["T\u0308a", "Y\u030ab", "H\u0331i", "J\u030cx", "W\u030aord", "A\u030a,", "I\u0307."])
+def test_marks_join_their_letter_before_case_is_dropped(text):
+    assert np.frombuffer(ENCODER.ids(text.encode()), "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids + [1]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not splits_words(path) and splits_words(PATH)
+    text = "It's one  or two\n\n words, <|endoftext|> É"
+    assert np.frombuffer(Encoder(path).ids(text.encode()), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids + [1]
+
+
+def test_ranges_follow_the_bytes_and_ties_are_split(spark):
+    same = [(i, "one text that many rows hold " * 20) for i in range(400)]
+    docs = spark.createDataFrame(same, "doc_id long, text string")
+    out = pack(docs, PATH, range_bytes=8192).collect()
+    task = {}
+    for p in out:
+        task.setdefault(p.sequence_id >> 40, set()).add(p.doc_id)
+    assert len(task) >= 20 and max(map(len, task.values())) < 60 and sum(p.length for p in out) == sum({p.doc_id: p.doc_tokens for p in out}.values())
+
+
 def test_packer_cuts_what_is_left_at_powers_of_two():
     packer = Packer(7, 16)
     docs = {i: np.arange(n, dtype="<u4").tobytes() for i, n in enumerate([5, 40, 1, 7])}

@@ -152,11 +152,11 @@ def interleave(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     return joined.repartitionByRange(place).sortWithinPartitions(place).drop(place)
 
 
-def with_runs(docs: DataFrame, name: str, run_slots: int = 100, id_col: str = "doc_id", **options) -> DataFrame:
-    """All documents with one more column: the run of ``run_slots`` slots of the mix that holds the document.
+def runs_of(docs: DataFrame, run_slots: int = 100, id_col: str = "doc_id", **options) -> DataFrame:
+    """(id, run): the run of ``run_slots`` slots of the mix that holds the document, for each id once.
 
     While no source has run out each run holds every source at its weight, give or take two blocks.
     Rows that share an id share the first slot.
     """
-    runs = mix(docs, id_col=id_col, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.floor(F.min("slot") / run_slots).alias(name))
-    return docs.join(runs, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
+    places = mix(docs, id_col=id_col, **options)
+    return keep(places.groupBy(F.col("doc_id").alias("id")).agg(F.floor(F.min("slot") / run_slots).cast("long").alias("run")), "mix-runs")

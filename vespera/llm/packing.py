@@ -3,25 +3,29 @@
 Order. Each document becomes a vector of hashed byte 4-gram counts, which fixed random directions project to
 four numbers; those, as a point of a grid, have a place on the Hilbert curve. Spark range-sorts
 by that key (ties by a hash of the id, so that many equal documents spread over tasks), and
-neighbours on the curve, whose texts are alike, are packed next to each other.
+neighbours on the curve, whose texts are alike, are packed next to each other. The ranges' bounds are
+quantiles, by bytes, of a sample of rows (``PER_RANGE`` for each range, ``SAMPLE_ROWS`` at least), as in any
+range sort; every row is placed by them.
 
 Packing. Within each range the documents' token ids, each followed by the end id, are laid end to end and
 cut at every ``length`` tokens. What is left at the end of a range is cut into sequences
 whose lengths are powers of two, so no sequence needs padding. Each id lies in exactly one piece.
 
-Scale. One range shuffle of the texts; a task streams its range and holds one sequence and one
-document at a time, with a bounded cache of words already encoded. A sequence's number is the
-task's number and a running number, so a repeated task gives the same sequences.
+Scale. One range shuffle of the texts, into ranges of about ``range_bytes`` of text; a task streams its range and
+holds one sequence and one document at a time, with a bounded cache of words already encoded. A sequence's number is
+the task's number and a running number, so a repeated task gives the same sequences.
 
 Defined results: null and empty texts are documents of one token (the end id); repeated rows are packed
-each; a null id is kept; an empty table gives no pieces.
+each; a null id is kept; very long texts span sequences; an empty table gives no pieces; other columns than id and
+text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
-from collections.abc import Iterable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +39,8 @@ END_ID = 1
 #: Words and stems that a worker remembers: two generations of each, of this many.
 CACHE_WORDS = 250_000
 CHUNK = 1 << 20
+#: Rows of the sample that bounds the ranges: at least so many, and so many for each range.
+SAMPLE_ROWS, PER_RANGE = 20_000, 20
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -113,45 +119,70 @@ class _Generations:
         if len(self.young) > self.size:
             self.young, self.old = {}, self.young
         young, old, out = self.young, self.old, []
-        for k in dict.fromkeys(keys):
-            if k not in young:
-                if (v := old.get(k)) is not None:
-                    young[k] = v
-                else:
-                    out.append(k)
+        for k in set(keys).difference(young):
+            if (v := old.get(k)) is not None:
+                young[k] = v
+            else:
+                out.append(k)
         return out
 
 
-#: Text that ends in a letter or digit, followed by plain punctuation: two tokens' worth at least, cut there.
-_TAIL = re.compile(rb"(.*(?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,;:!?|%#$&*]*)", re.S)
+#: What normalises and splits texts in the kind of tokenizer whose words are encoded one by one.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Plain punctuation after a letter or digit: no token holds both, so a word is cut between them.
+_PUNCTUATION = b".,;:!?|%#$&*"
+_LETTERS = frozenset(bytes([0xC3, x]) for x in range(0x80, 0xC0) if x not in (0x97, 0xB7))
+
+
+def splits_words(path: str) -> bool:
+    """Whether a tokenizer file never joins letters, digits, punctuation or white space in one token."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    pre = (d.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = pre[0].get("pattern") == {"Regex": SPLIT} and pre[0].get("behavior") == "Removed" and pre[0].get("invert") is True
+    levels = all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in pre[1:])
+    specials = all(x["content"].startswith("<|") and not (x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"]) for x in d.get("added_tokens") or ())
+    return split and levels and specials and (d.get("normalizer") or {}).get("normalizers") == NORMALIZERS
 
 
 class Encoder:
     """Token ids of whole texts.
 
-    White space ends every token of this kind of tokenizer, letters and punctuation are never in one token, and
-    letter case is ignored; so words, and below them their stems, are encoded once and remembered.
+    Where white space ends every token, letters and punctuation are never in one token and letter case is
+    ignored (:func:`splits_words`), words, and below them their stems, are encoded once and remembered. A text of any
+    other tokenizer is encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.by_word = Tokenizer.from_file(path), splits_words(path)
         self.words, self.stems = _Generations(CACHE_WORDS), _Generations(CACHE_WORDS)
 
     def ids(self, text: bytes) -> bytes:
         """The ids as little-endian 32-bit numbers, the end id included."""
+        end = END_ID.to_bytes(4, "little")
+        if not self.by_word:
+            return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes() + end
         words = text.split()
         if new := self.words.missing(words):
             self._learn(new)
-        return b"".join([*map(self.words.young.__getitem__, words), END_ID.to_bytes(4, "little")])
+        return b"".join([*map(self.words.young.__getitem__, words), end])
 
     def _learn(self, words: list[bytes]) -> None:
-        parts = []
+        stems, tails = [], []
         for w in words:
-            m = None if b"<|" in w else _TAIL.fullmatch(w)
-            parts.append((m[1].lower(), m[2]) if m else (w, b""))
-        new = self.stems.missing(p for pair in parts for p in pair if p)
+            stem = w
+            if b"<|" not in w:
+                stem = w.rstrip(_PUNCTUATION)
+                if not (stem[-1:].isalnum() or stem[-2:] in _LETTERS):
+                    stem = w
+                elif stem.isascii():
+                    stem = stem.lower()  # beyond ASCII a mark may join its letter before case is dropped
+            stems.append(stem)
+            tails.append(w[len(stem) :])
+        new = self.stems.missing(p for pair in (stems, tails) for p in pair if p)
         known = self.stems.young
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
@@ -163,7 +194,7 @@ class Encoder:
                 known[w] = ids[at:end]
                 at = end
         young = self.words.young
-        for w, (stem, tail) in zip(words, parts):
+        for w, stem, tail in zip(words, stems, tails):
             young[w] = known[stem] + known[tail] if tail else known[stem]
 
 
@@ -227,7 +258,7 @@ class Packer:
 FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, length: int, with_ids: bool, id_type: pa.DataType | None = None) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], path: str, length: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     packer = Packer(TaskContext.get().partitionId() << 40, length)
     names = [*FIELDS, "ids"] if with_ids else list(FIELDS)
     kind = pa.int64()
@@ -256,22 +287,58 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, length: int, with_ids: b
         yield out(pieces)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keyed(batches: Iterator[pa.RecordBatch], cuts: list[tuple] | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, run, spread) with their place on the curve and, between cuts, their range."""
     for batch in batches:
-        keys = curve_keys([t or b"" for t in batch.column(1).to_pylist()])
-        yield pa.record_batch([*batch.columns, pa.array(keys)], [*batch.schema.names, "curve"])
+        texts = batch.column(1).to_pylist()
+        keys = curve_keys([t or b"" for t in texts])
+        run, spread = (batch.column(k).to_pylist() for k in (2, 3))
+        if cuts is None:
+            yield pa.record_batch([batch.column(2), pa.array(keys), batch.column(3), pa.array([len(t or b"") + 1 for t in texts], pa.int64())], ["run", "curve", "spread", "size"])
+        else:
+            part = [bisect_right(cuts, x) for x in zip(run, keys.tolist(), spread)]
+            yield pa.record_batch([*batch.columns, pa.array(keys), pa.array(part, pa.int32())], [*batch.schema.names, "curve", "part"])
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, run_col: str | None = None) -> DataFrame:
+def range_cuts(rows: DataFrame, range_bytes: int, max_ranges: int, placed: Callable[[DataFrame], DataFrame]) -> list[tuple]:
+    """Where ranges of about ``range_bytes`` end: (run, curve, spread) of sampled rows, by their bytes.
+
+    ``placed`` gives rows their run and spread; only the sample passes through it here.
+    """
+    total, wanted = rows.count(), SAMPLE_ROWS
+    while True:
+        share = min(1.0, wanted / max(1, total))
+        sample = rows if share == 1 else rows.sample(share, seed=7)
+        found = placed(sample).mapInArrow(_keyed, "run long, curve long, spread long, size long").toArrow()
+        keys = sorted(zip(*(c.to_pylist() for c in found.columns)))
+        size = np.cumsum([k[3] for k in keys], dtype=float)
+        ranges = int(min(size[-1] / share / range_bytes, max_ranges)) + 1 if len(keys) else 1
+        if share == 1 or ranges * PER_RANGE <= wanted:
+            break
+        wanted = ranges * PER_RANGE
+    ranges = max(ranges, min(rows.sparkSession.sparkContext.defaultParallelism, len(keys)))
+    at = np.searchsorted(size, size[-1] / ranges * np.arange(1, ranges)) if len(keys) else []
+    return sorted({keys[i][:3] for i in at})
+
+
+def pack(docs: DataFrame, tokenizer: str, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, runs: DataFrame | None = None, range_bytes: int = 16 << 20, max_ranges: int = 20_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
-    ``tokenizer`` is the path of a tokenizer file that every executor can read. ``run_col`` names a column of
-    whole numbers that comes before the place on the curve, as the runs of a mix.
+    ``tokenizer`` is the path of a tokenizer file that every executor can read. ``runs`` (id, run: one row for each
+    id, null ones too) gives whole numbers that come before the place on the curve, as the runs of a mix. Ranges outgrow
+    ``range_bytes`` only once there are ``max_ranges``.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *([F.col(run_col).cast("long").alias("run")] if run_col else []))
-    run = ["run"] if run_col else []
-    keyed = rows.mapInArrow(_keyed, "doc_id long, text binary" + (", run long" if run_col else "") + ", curve long")
-    spread = F.xxhash64("doc_id")
-    ordered = keyed.repartitionByRange(*run, "curve", spread).sortWithinPartitions(*run, "curve", spread, "doc_id").select("doc_id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    spread = F.xxhash64("doc_id").alias("spread")
+
+    def placed(part: DataFrame) -> DataFrame:
+        if runs is None:
+            return part.select("doc_id", "text", F.lit(0).cast("long").alias("run"), spread)
+        of = runs.select(F.col(runs.columns[0]).cast("long").alias("_id"), F.col(runs.columns[1]).cast("long").alias("run"))
+        return part.join(of, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "run", spread)
+
+    cuts = range_cuts(rows, range_bytes, max_ranges, placed)
+    keyed = placed(rows).mapInArrow(lambda it: _keyed(it, cuts), "doc_id long, text binary, run long, spread long, curve long, part int")
+    ordered = keyed.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("run", "curve", "spread", "doc_id").select("doc_id", "text")
     schema = ", ".join(f"{n} long" for n in FIELDS) + (", ids array<int>" if with_ids else "")
     return ordered.mapInArrow(lambda it: _pack(it, tokenizer, length, with_ids), schema)
