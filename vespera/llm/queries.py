@@ -120,7 +120,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vespera.llm.exact_dedup import duplicate_groups
 
-    return duplicate_groups(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("tkey")
+    return duplicate_groups(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("x")
 
 
 OP9_SQL = r"""
