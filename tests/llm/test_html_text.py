@@ -1,7 +1,9 @@
 """Main text of pages: site templates, side parts, article text kept whole."""
 
 import html
+import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -63,6 +65,63 @@ def test_templates_are_deleted_per_host_and_passages_stay(spark):
     assert main_text(pages).count() == len(rows) and main_text(pages.limit(0)).count() == 0
 
 
+NAMES = ["post reply-guide", "content search-tips", "article tags", "post login-help", "comment-policy", "related-work"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_names_do_not_delete_a_pages_only_content(spark, name):
+    words = "the page's only text, which goes on for some time " * 8
+    menu = "<div class=menu><a href=/a>Home</a> <a href=/b>About</a></div>"
+    rows = [(i, f"http://n.example/{i}", f"{menu}<div class='{name}'><p>{words}{i}</p></div>") for i in range(4)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{words}{i}" for i in range(4)}
+
+
+def test_sections_with_telling_words_stay_inside_an_article():
+    page = ARTICLE.replace("<p>six", "<section id='related-work'><p>six</p></section><div class='comment-policy'><p>seven</p></div><div class='related-posts'><p>gone</p></div><ul class=share-buttons><li>gone</ul>")
+    assert text(page) == WANT + "\nseven"
+
+
+def test_counts_alone_decide_where_tags_and_names_mean_nothing(spark):
+    """Two hosts with the same parts: what recurs on many pages goes, what differs stays."""
+    rows, want = [], {}
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=6))
+    for host in ("p.example", "q.example"):
+        fixed = [f"<x-{k} class={word()}>{' '.join(word() for _ in range(8))}</x-{k}>" for k in "abc"]
+        section = [f"<div class={word()}>{' '.join(word() for _ in range(5))}</div>" for _ in range(3)]
+        for i in range(30):
+            own = [" ".join(word() for _ in range(20)) for _ in range(3)]
+            body = "".join(f"<div class=k{j}>{t}</div>" for j, t in enumerate(own))
+            html_ = f"<div>{fixed[0]}</div><div>{fixed[1]}</div><div class=z>{body}</div>{section[i % 3]}<div>{fixed[2]}</div>"
+            rows.append((len(rows), f"https://{host}/{i}", html_))
+            want[rows[-1][0]] = "\n".join(own)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in main_text(pages).collect()} == want
+    ignoring = {r.page_id: r.text for r in main_text(pages, min_pages=10**9).collect()}
+    assert all(ignoring[i] != want[i] for i in want)
+
+
+def brute_templates(pages):
+    """Hashes by host that enough pages hold, in plain Python."""
+    by, n = {}, Counter()
+    for url, page in pages:
+        host = re.match(r"\w+://([^/]*)", url)[1]
+        n[host] += 1
+        for h in {h for _, _, chain in blocks(page) for h in chain}:
+            by[host, h] = by.get((host, h), 0) + 1
+    return {k for k, c in by.items() if c >= 3 and c >= min(0.1 * n[k[0]], 20)}
+
+
+def test_templates_equal_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    source = [(r.page_id, r.url, r.html) for r in pages.collect()]
+    known = brute_templates([x[1:] for x in source])
+    got = {r.page_id: r.n_template for r in main_text(pages).collect()}
+    want = {i: sum(bool({(re.match(r"\w+://([^/]*)", u)[1], h) for h in chain} & known) for _, _, chain in blocks(page)) for i, u, page in source}
+    assert got == want and sum(want.values()) > 20
+
+
 def test_whole_articles_of_the_test_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     source = {r.page_id: r.html for r in pages.collect()}
