@@ -1,33 +1,30 @@
-"""Line deduplication: exact repeated passages (the query's way), and content-defined chunks of lines.
-
-Passages (``deduplicate_passages``). A passage is one line of ``min_words`` words (or ten bytes for each of
-them, for scripts without spaces), or two successive lines of which one is shorter; longer ones are chains of these units, so
-no passage is missed however its surroundings differ, and none keeps its edges. Lines of white space are passed over.
-A line goes when a unit that holds it has occurred before (lower id, then text key, then line), unless it belongs to
-the first occurrence of another repeated unit: of each repeated passage a whole copy stays. Blank lines
-go with the line they follow. A unit's key is the 128-bit hashes of its lines; every line of
-a repeated unit is compared with the others of its hash byte by byte, and units with a line whose hash
-two different lines share are not touched. Only hashes are shuffled, distinct lines for the comparison (once a task), and each
-text once.
-
-Chunks (``deduplicate_lines``; misses most short passages and the edges of long ones). Each line is hashed, and a rolling hash runs over the last ``window`` line hashes; where it is 0 modulo
-``divisor`` a chunk of at least ``min_lines`` lines ends after that line. Boundaries thus depend on nearby lines:
-however many lines are put in or taken out before a passage, from the first candidate that does not follow
-another one closely on the boundaries inside the passage are the same.
-
-Removal. Chunks of several lines are counted over all documents. Of a chunk that occurs more than
-once the first occurrence stays (lowest id, then text key, then line) and the others are compared with it
-byte by byte; those that are equal are removed from their documents. (The hash has 128 bits; should two different chunks
-share it, the later one stays where it is.)
-
-Scale. Texts are chunked in one pass that gives out hashes only; counts are combined before they are shuffled,
-so a chunk in a third of all documents costs one row per task. Texts are shuffled once, to meet their marked chunks; the
-comparison shuffles the bytes of marked chunks alone, in an equi-join by hash that Spark can split, and a
-document's marks are no more than its own lines.
-
-Defined results: null text counts as empty and stays so (empty); a text without a repeated chunk is returned
+"""Line deduplication by content-defined chunks of lines.
+
+Chunks. Every line that is not blank is hashed (128 bits). A line of ``min_words`` words or more (or ten bytes for each of
+them, for scripts without spaces) is a chunk of its own. In runs of shorter lines a rolling hash runs over the hashes of
+two successive lines, and of each two successive rolling hashes the smaller one is a boundary; a chunk reaches from one
+boundary to the next, both lines of each included, so it has three or four lines. Boundaries depend on the nearest
+lines alone: whatever is put in or taken out before a passage, those inside it are the same, and any five successive
+short lines hold a whole chunk.
+
+Edges. Around a chunk that occurs more than once the passage may go on. Up to ``REACH`` lines on each side are chained to
+it: the key of a line at distance j is the hash of the key at distance j - 1 and the line. A chained line is
+repeated if its key is. As more lines than that would hold a chunk, a repeated passage that holds a line of
+``min_words`` words or five lines is found whole, however its surroundings differ.
+
+Removal. A line goes when a chunk, or a chunk's chained line, that holds it has occurred before (lower id, then text key,
+then line), unless it belongs to the first occurrence of another repeated chunk or chain: of each repeated
+passage a whole copy stays. Blank lines go with the line they follow. Before anything is removed the bytes of all chunks and chained lines
+that share a key are compared; keys that stand for different bytes count as not repeated.
+
+Scale. Texts are read twice and shuffled once, to meet their marks. The first pass leaves 17 bytes for each line; chunks
+and chains are worked out from those. Counts are combined before they are shuffled and the joins have two written
+sides, which Spark can split at a very common chunk; for the comparison each task gives the bytes of a key once.
+
+Defined results: null text counts as empty and stays so (empty); a text without a repeated passage is returned
 unchanged; a text may become empty, its row stays; rows that tie wholly are treated alike (the first
-occurrence stays in each); null ids come last; extra columns are kept; an empty table gives an empty result.
+occurrence stays in each); null ids come last; very long texts and lines are treated like others; extra columns are kept,
+and names that clash with the added ones get an underscore; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,189 +37,115 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vespera.llm.common import fit_name, keep, text_key
-
-PRIME = np.uint64(0x9E3779B97F4A7C15)
-
-
-def boundaries(lines: list[bytes], window: int, divisor: int, min_lines: int = 2) -> list[int]:
-    """Ends (exclusive) of the chunks of a text's lines."""
-    h = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines))
-    rolling = np.zeros(len(h), np.uint64)
-    for back in range(window):
-        rolling[back:] = rolling[back:] + h[: len(h) - back] * PRIME ** np.uint64(back) if back < len(h) else rolling[back:]
-    cut = (rolling >> np.uint64(29)) % np.uint64(divisor) == 0
-    cut[: window - 1] = False
-    ends, start = [], 0
-    for end in (np.flatnonzero(cut) + 1).tolist():
-        if end - start >= min_lines:
-            ends.append(end)
-            start = end
-    return ends if ends and ends[-1] == len(lines) else [*ends, len(lines)]
-
-
-def chunks(text: bytes, window: int, divisor: int, min_lines: int) -> Iterator[tuple[int, int, bytes]]:
-    """(first line, lines, bytes) of each chunk of enough lines."""
-    lines = text.split(b"\n")
-    if len(lines) < min_lines:
-        return
-    start = 0
-    for end in boundaries(lines, window, divisor, min_lines):
-        if end - start >= min_lines:
-            yield start, end - start, b"\n".join(lines[start:end])
-        start = end
-
-
-def _chunk(batches: Iterator[pa.RecordBatch], window: int, divisor: int, min_lines: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        row, first, count, digest = [], [], [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            for a, n, b in chunks(text, window, divisor, min_lines):
-                row.append(i)
-                first.append(a)
-                count.append(n)
-                digest.append(xxhash.xxh3_128_hexdigest(b))
-        yield pa.record_batch([batch.column(0).take(pa.array(row, pa.int64())), pa.array(first, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())], ["key", "first", "lines", "h"])
-
-
-def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the chunks that each text's list names."""
+from vespera.llm.common import fit_name, keep
+
+Digest = Callable[[bytes], bytes]
+PRIME, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Lines that are chained to each side of a repeated chunk: one less than always hold a chunk.
+REACH = 4
+WIDTH = 16
+
+
+def digests(text: bytes, min_words: int, digest: Digest) -> tuple[bytes, bytes]:
+    """The hashes of the lines that are not blank, end to end, and for each whether it is long."""
+    lines = [line for line in text.split(b"\n") if line.strip()]
+    return b"".join(map(digest, lines)), bytes(len(line) >= 10 * min_words or len(line.split()) >= min_words for line in lines)
+
+
+def boundaries(hashes: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """Lines at which chunks of short lines begin and end: of two successive rolling hashes the smaller one's line."""
+    if len(hashes) < 3:
+        return np.zeros(0, np.int64)
+    rolling = hashes[:-1] * PRIME + hashes[1:]
+    rolling ^= rolling >> np.uint64(32)
+    rolling *= MIX
+    whole = short[:-2] & short[1:-1] & short[2:]  # windows of two rolling hashes: three lines
+    at = np.flatnonzero(whole)
+    return np.unique(at + (rolling[at + 1] <= rolling[at]))
+
+
+def chunks(hashes: bytes, long: bytes, digest: Digest = xxhash.xxh3_128_digest) -> Iterator[tuple[int, int, bytes]]:
+    """(first line, end, key) of each chunk; lines are counted without blank ones."""
+    for i, is_long in enumerate(long):
+        if is_long:
+            yield i, i + 1, digest(hashes[WIDTH * i : WIDTH * (i + 1)])
+    if long.count(0) > 3:
+        heads = np.frombuffer(hashes, "<u8")[::2]
+        ends = boundaries(heads, np.frombuffer(long, np.uint8) == 0).tolist()
+        for a, b in zip(ends, ends[1:]):
+            if b - a <= 2:  # else another run of short lines begins
+                yield a, b + 2, digest(hashes[WIDTH * a : WIDTH * (b + 2)])
+
+
+def chains(hashes: bytes, first: int, end: int, key: bytes, digest: Digest = xxhash.xxh3_128_digest) -> Iterator[tuple[int, bytes]]:
+    """(line, key) of the lines around a chunk, outward."""
+    n = len(hashes) // WIDTH
+    for side, lines in ((b"<", range(first - 1, max(-1, first - 1 - REACH), -1)), (b">", range(end, min(n, end + REACH)))):
+        now = key
+        for i in lines:
+            now = digest(now + side + hashes[WIDTH * i : WIDTH * (i + 1)])
+            yield i, now
+
+
+def _digests(batches: Iterator[pa.RecordBatch], min_words: int, digest: Digest) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        row, first, digest, stays, body = [], [], [], [], []
-        for i, (text, marked) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-            lines = text.split(b"\n")
-            for m in marked:
-                row.append(i)
-                first.append(m["first"])
-                digest.append(m["h"])
-                stays.append(m["stays"])
-                body.append(b"\n".join(lines[m["first"] : m["first"] + m["lines"]]))
-        yield pa.record_batch([batch.column(0).take(pa.array(row, pa.int64())), pa.array(first, pa.int64()), pa.array(digest, pa.string()), pa.array(stays, pa.bool_()), pa.array(body, pa.binary())], ["key", "first", "h", "stays", "body"])
-
+        found = [digests(t, min_words, digest) for t in batch.column(2).to_pylist()]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([h for h, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["doc_id", "tkey", "hashes", "long"])
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 2, min_lines: int = 2) -> DataFrame:
-    """(doc_id, tkey, marked): per document its chunks that occur more than once, by hash.
 
-    ``marked`` lists first line, number of lines, hash, and whether it is the first occurrence. No text is shuffled.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(F.struct(F.col(id_col).alias("doc_id"), text_key(text).alias("tkey")).alias("key"), text.cast("binary").alias("text"))
-    kind = source.schema["key"].dataType.simpleString()
-    found = source.mapInArrow(lambda it: _chunk(it, window, divisor, min_lines), f"key {kind}, first long, lines long, h string")
-    table = keep(found.select("key.doc_id", "key.tkey", "first", "lines", "h"), "lines-chunks")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey", "first")
-    counted = table.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("place"))
-    often = keep(counted.where("n > 1").select("h", "place"), "lines-repeated")
-    same = F.col("doc_id").eqNullSafe(F.col("place.doc_id")) & (F.col("tkey") == F.col("place.tkey")) & (F.col("first") == F.col("place.first"))
-    # Written, so that Spark can split the join at a very common chunk before rows are grouped by document.
-    met = keep(table.join(often, "h").select("doc_id", "tkey", "first", "lines", "h", same.alias("stays")), "lines-met")
-    return met.distinct().groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("first", "lines", "h", "stays")).alias("marked"))
+def _rows(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+    """(row of the batch, key, line, until, first, end) as columns beside the rows' ids."""
+    row, key, *places = list(zip(*rows)) or [()] * 6
+    at = pa.array(row, pa.int64())
+    return pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(key, pa.binary()), *(pa.array(p, pa.int32()) for p in places)], ["doc_id", "tkey", "h", "line", "until", "first", "end"])
 
 
-def _remove(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
-    """The last two columns hold the marked chunks and the first lines of those that differ from the first
-    occurrence after all; they give way to the counts of lines."""
+def _chunks(batches: Iterator[pa.RecordBatch], digest: Digest) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, totals, gone = [], [], []
-        *rest, marks, differ = batch.columns
-        for text, marked, other in zip(rest[text_at].to_pylist(), marks.to_pylist(), differ.to_pylist()):
-            lines = (text or "").split("\n")
-            totals.append(len(lines))
-            stay = set(other or ())
-            kept, at = [], 0
-            for first, n in sorted((m["first"], m["lines"]) for m in marked or () if not m["stays"] and m["first"] not in stay):
-                kept += lines[at:first]
-                at = first + n
-            kept += lines[at:]
-            gone.append(len(lines) - len(kept))
-            texts.append("\n".join(kept))
-        rest[text_at] = pa.array(texts, pa.string())
-        yield pa.record_batch([*rest, pa.array(totals, pa.int64()), pa.array(gone, pa.int64())], [str(i) for i in range(len(rest) + 2)])
+        yield _rows(batch, [(i, key, a, b, a, b) for i, (h, long) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3)))) for a, b, key in chunks(h, long, digest)])
 
 
-def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] | None = ("n_lines", "n_removed"), **options) -> DataFrame:
-    """All rows and columns with repeated chunks of lines removed from the text.
-
-    ``counts`` names two more columns: the lines of the original text, and those removed; None leaves them out.
-    Names that docs has already are prefixed by an underscore.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    marks = repeated_chunks(docs, id_col, text_col, **options).withColumnsRenamed({"doc_id": "_i", "tkey": "_k", "marked": "_marked"})
-    key = fit_name(docs, "_tkey")
-    keyed = docs.withColumn(key, text_key(text))
-    same = F.col(id_col).eqNullSafe(F.col("_i")) & (F.col(key) == F.col("_k"))
-    joined = keep(keyed.join(marks, same, "left").drop("_i", "_k"), "lines-marked")  # texts are shuffled here alone
-
-    # Marked chunks against the first occurrence, byte by byte.
-    source = joined.where("_marked is not null").select(F.struct(F.col(f"`{id_col}`").alias("doc_id"), F.col(key).alias("tkey")).alias("key"), text.cast("binary").alias("text"), "_marked")
-    kind = source.schema["key"].dataType.simpleString()
-    bodies = keep(source.mapInArrow(_bodies, f"key {kind}, first long, h string, stays boolean, body binary"), "lines-bodies")
-    heads = bodies.where("stays").select("h", F.col("body").alias("head")).dropDuplicates(["h"])
-    differ = bodies.where("not stays").join(heads, "h").where(F.col("body") != F.col("head"))
-    differ = keep(differ.groupBy(F.col("key.doc_id").alias("_i"), F.col("key.tkey").alias("_k")).agg(F.collect_set("first").alias("_differ")), "lines-differ")
-    out = joined.join(differ, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_marked", "_differ")
-    total, gone = (fit_name(docs, c) for c in counts or ("n_lines", "n_removed"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    at = docs.columns.index(text_col)
-    done = out.mapInArrow(lambda it: _remove(it, at), f"{fields}, `{total}` long, `{gone}` long")
-    return done if counts else done.drop(total, gone)
-
-
-def units(text: bytes, min_words: int, digest: Callable[[bytes], bytes] = xxhash.xxh3_128_digest) -> Iterator[tuple[int, bool, bytes]]:
-    """(first line, whether it is a pair, key) of each unit: long lines, and successive lines not both long."""
-    lines = [(i, line) for i, line in enumerate(text.split(b"\n")) if line.strip()]
-    before: tuple[int, bool, bytes] | None = None
-    for i, line in lines:
-        h, long = digest(line), len(line) >= 10 * min_words or len(line.split()) >= min_words
-        if before and not (long and before[1]):
-            yield before[0], True, before[2] + h
-        if long:
-            yield i, False, h
-        before = i, long, h
-
-
-def _units(batches: Iterator[pa.RecordBatch], min_words: int, digest: Callable[[bytes], bytes]) -> Iterator[pa.RecordBatch]:
+def _chains(batches: Iterator[pa.RecordBatch], digest: Digest) -> Iterator[pa.RecordBatch]:
+    """Chained lines of the repeated chunks that the last column lists."""
     for batch in batches:
-        row, first, pair, key = [], [], [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            for a, p, h in units(text, min_words, digest):
-                row.append(i)
-                first.append(a)
-                pair.append(p)
-                key.append(h)
-        yield pa.record_batch([batch.column(0).take(pa.array(row, pa.int64())), pa.array(first, pa.int64()), pa.array(pair, pa.bool_()), pa.array(key, pa.binary())], ["key", "first", "pair", "h"])
-
-
-def _unit_marks(table: DataFrame) -> DataFrame:
-    """(_i, _k, _marked): per document its repeated units as first line * 4 + pair * 2 + first occurrence."""
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey", "first")
-    often = keep(table.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("place")).where("n > 1").select("h", "place"), "lines-repeated")
-    same = F.col("doc_id").eqNullSafe(F.col("place.doc_id")) & (F.col("tkey") == F.col("place.tkey")) & (F.col("first") == F.col("place.first"))
-    code = F.col("first") * 4 + F.col("pair").cast("long") * 2 + same.cast("long")
-    # Written, so that Spark can split the join at a very common unit before rows are grouped by document.
-    met = keep(table.join(often, "h").select(F.col("doc_id").alias("_i"), F.col("tkey").alias("_k"), code.alias("code")), "lines-met")
-    return met.groupBy("_i", "_k").agg(F.collect_set("code").alias("_marked"))
+        rows = []
+        for i, (hashes, marked) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3)))):
+            for m in marked:
+                rows += [(i, key, line, line + 1, min(line, m["first"]), max(line + 1, m["end"])) for line, key in chains(hashes, m["first"], m["end"], m["h"], digest)]
+        yield _rows(batch, rows)
 
 
-def _followers(lines: list) -> dict[int, int]:
-    """The next line that is not blank, for each such line."""
-    at = [i for i, line in enumerate(lines) if line.encode().strip()]
-    return dict(zip(at, at[1:]))
+def _repeated(table: DataFrame) -> DataFrame:
+    """The rows whose key occurs more than once, with whether theirs is the first occurrence."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey", "first", "line")
+    often = keep(table.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("place")).where("n > 1").select("h", "place"), "lines-repeated")
+    stays = F.col("doc_id").eqNullSafe(F.col("place.doc_id")) & (F.col("tkey") == F.col("place.tkey")) & (F.col("first") == F.col("place.first")) & (F.col("line") == F.col("place.line"))
+    # Written, so that Spark can split the join at a very common chunk before rows are grouped by document.
+    return keep(table.join(often, "h").select("doc_id", "tkey", "h", "line", "until", "first", "end", stays.alias("stays")), "lines-met")
 
 
-def _marked_lines(batches: Iterator[pa.RecordBatch], digest: Callable[[bytes], bytes]) -> Iterator[pa.RecordBatch]:
-    """The distinct lines of repeated units, by hash."""
+def _bodies(batches: Iterator[pa.RecordBatch], digest: Digest) -> Iterator[pa.RecordBatch]:
+    """(key, bytes) of marked chunks and chained lines, each once a batch; a chained line with the key it is chained to."""
     for batch in batches:
-        found: set[bytes] = set()
+        found: set[tuple[bytes, bytes]] = set()
         for text, marked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            lines = text.split("\n")
-            after = _followers(lines)
-            found.update(lines[i].encode() for m in marked for i in ((m >> 2, after[m >> 2]) if m & 2 else (m >> 2,)))
-        bodies = list(found)
-        yield pa.record_batch([pa.array([digest(b) for b in bodies], pa.binary()), pa.array(bodies, pa.binary())], ["h", "body"])
+            lines = [line for line in text.split(b"\n") if line.strip()]
+            wanted = {m["h"] for m in marked}
+            for first, end in {(m["first"], m["end"]) for m in marked if (m["line"], m["until"]) == (m["first"], m["end"])}:
+                hashes = b"".join(map(digest, lines[max(0, first - REACH) : end + REACH]))
+                a = min(first, REACH)
+                key = digest(hashes[WIDTH * a : WIDTH * (a + end - first)])
+                found.add((key, b"\n".join(lines[first:end])))
+                before = {"<": key, ">": key}
+                for line, now in chains(hashes, a, a + end - first, key, digest):
+                    side = "<" if line < a else ">"
+                    if now in wanted:
+                        found.add((now, side.encode() + before[side] + lines[line - a + first]))
+                    before[side] = now
+        yield pa.record_batch([pa.array([k for k, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["h", "body"])
 
 
-def _remove_units(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
     """The last column holds the marks; it gives way to the counts of lines."""
     for batch in batches:
         texts, totals, gone = [], [], []
@@ -231,16 +154,18 @@ def _remove_units(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[p
             lines = (text or "").split("\n")
             kept = lines
             if marked:
-                after = _followers(lines)
                 later, stay = set(), set()
                 for m in marked:
-                    (stay if m & 1 else later).update((m >> 2, after[m >> 2]) if m & 2 else (m >> 2,))
-                kept, going = [], False
-                for i, line in enumerate(lines):
-                    if i in later and i not in stay:
-                        going = True
-                    elif line.encode().strip():
-                        going = False
+                    if m["stays"]:
+                        stay.update(range(m["first"], m["end"]))
+                    else:
+                        later.update(range(m["line"], m["until"]))
+                later -= stay
+                kept, going, at = [], False, -1
+                for line in lines:
+                    if line.encode().strip():
+                        at += 1
+                        going = at in later
                     if not going:
                         kept.append(line)
             totals.append(len(lines))
@@ -250,31 +175,41 @@ def _remove_units(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[p
         yield pa.record_batch([*rest, pa.array(totals, pa.int64()), pa.array(gone, pa.int64())], [str(i) for i in range(len(rest) + 2)])
 
 
-def deduplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] | None = ("n_lines", "n_removed"), min_words: int = 10, digest: Callable[[bytes], bytes] = xxhash.xxh3_128_digest) -> DataFrame:
-    """All rows and columns with every repeated passage removed from the text; ``counts`` as in deduplicate_lines."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] | None = ("n_lines", "n_removed"), min_words: int = 10, digest: Digest = xxhash.xxh3_128_digest) -> DataFrame:
+    """All rows and columns with repeated passages of lines removed from the text.
+
+    ``counts`` names two more columns: the lines of the original text, and those removed; None leaves them out.
+    Names that docs has already are prefixed by an underscore. ``digest`` is the lines' hash (16 bytes).
+    """
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     short_key = F.unhex(F.md5(text.cast("binary")))
-    source = docs.select(F.struct(F.col(id_col).alias("doc_id"), short_key.alias("tkey")).alias("key"), text.cast("binary").alias("text"))
-    kind = source.schema["key"].dataType.simpleString()
-    found = source.mapInArrow(lambda it: _units(it, min_words, digest), f"key {kind}, first long, pair boolean, h binary")
-    table = keep(found.select("key.doc_id", "key.tkey", "first", "pair", "h"), "lines-units")
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), short_key.alias("tkey"), text.cast("binary").alias("text"))
+    ids = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, tkey binary"
+    places = f"{ids}, h binary, line int, until int, first int, end int"
+    hashed = keep(source.mapInArrow(lambda it: _digests(it, min_words, digest), f"{ids}, hashes binary, long binary"), "lines-hashed")
+    table = keep(hashed.mapInArrow(lambda it: _chunks(it, digest), places), "lines-chunks")
+    by_row = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.tkey") == F.col("b.tkey"))
     key = fit_name(docs, "_tkey")
     keyed = docs.withColumn(key, short_key)
-    same = F.col(id_col).eqNullSafe(F.col("_i")) & (F.col(key) == F.col("_k"))
-
-    def marked(rows: DataFrame) -> DataFrame:
-        return keep(keyed.join(_unit_marks(rows), same, "left").drop("_i", "_k", key), "lines-marked")  # texts are shuffled here alone
-
-    joined = marked(table)
-    bodies = joined.where("_marked is not null").select(text.alias("text"), "_marked").mapInArrow(lambda it: _marked_lines(it, digest), "h binary, body binary")
-    shared = keep(bodies.distinct().groupBy("h").count().where("count > 1").select(F.col("h").alias("bad")), "lines-shared")
-    if shared.take(1):  # different lines with one hash: without their units
-        for at in (1, 17):
-            table = table.join(shared, F.substring("h", at, 16) == F.col("bad"), "left_anti")
-        joined = marked(table)
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_i")) & (F.col(key) == F.col("_k"))
+    bad: DataFrame | None = None
+    while True:
+        met = _repeated(table if bad is None else table.join(bad, "h", "left_anti"))
+        around = met.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("first", "end", "h")).alias("marked"))
+        around = hashed.alias("a").join(around.alias("b"), by_row).select("a.doc_id", "a.tkey", "a.hashes", "b.marked")
+        chained = keep(around.mapInArrow(lambda it: _chains(it, digest), places), "lines-chained")
+        also = _repeated(chained if bad is None else chained.join(bad, "h", "left_anti"))
+        marks = met.union(also).groupBy(F.col("doc_id").alias("_i"), F.col("tkey").alias("_k")).agg(F.collect_set(F.struct("h", "line", "until", "first", "end", "stays")).alias("_marked"))
+        joined = keep(keyed.join(marks, same, "left").drop("_i", "_k", key), "lines-marked")  # texts are shuffled here alone
+        marked = joined.where("_marked is not null").select(text.cast("binary").alias("text"), "_marked")
+        bodies = marked.mapInArrow(lambda it: _bodies(it, digest), "h binary, body binary")
+        shared = keep(bodies.distinct().groupBy("h").count().where("count > 1").select("h"), "lines-shared")
+        if not shared.take(1):
+            break
+        bad = shared if bad is None else keep(bad.union(shared), "lines-bad")  # one key for different bytes: without it
     total, gone = (fit_name(docs, c) for c in counts or ("n_lines", "n_removed"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at_text = docs.columns.index(text_col)
     out = joined.select(*[F.col(f"`{c}`") for c in docs.columns], "_marked")
-    done = out.mapInArrow(lambda it: _remove_units(it, at_text), f"{fields}, `{total}` long, `{gone}` long")
+    done = out.mapInArrow(lambda it: _remove(it, at_text), f"{fields}, `{total}` long, `{gone}` long")
     return done if counts else done.drop(total, gone)
