@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 
+from vespera.llm import html_text
 from vespera.llm.html_text import blocks, main_text
 
 
@@ -113,7 +114,9 @@ def brute_templates(pages):
     return {k for k, c in by.items() if c >= 3 and c >= min(0.1 * n[k[0]], 20)}
 
 
-def test_templates_equal_brute_force(spark):
+@pytest.mark.parametrize("pairs", [1_000_000, 0])
+def test_templates_equal_brute_force(spark, monkeypatch, pairs):
+    monkeypatch.setattr(html_text, "BROADCAST_PAIRS", pairs)
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     source = [(r.page_id, r.url, r.html) for r in pages.collect()]
     known = brute_templates([x[1:] for x in source])

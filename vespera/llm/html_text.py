@@ -15,8 +15,9 @@ Running text inside a marked article (paragraphs, headings, list items, quotes,
 deleted as template: a passage that many articles share is text. Elsewhere it may be.
 
 Scale. Html is parsed once; (host, subtree) counts are combined before they
-are shuffled, so a host with a third of all pages costs one row per task and subtree. Pages meet their templates by
-(host, subtree), in a join that Spark can split at a hot one; no list of a host's templates is ever built.
+are shuffled, so a host with a third of all pages costs one row per task and subtree. While all templates together are
+few (``BROADCAST_PAIRS``, and ``HOST_LIST`` for a host) they are broadcast as lists by host. Beyond that pages meet them by
+(host, subtree), in a join that Spark can split at a hot one, and texts are shuffled once.
 
 Defined results: null or empty html, and pages without any text left, give an empty text; repeated
 rows get equal results; null urls share one unnamed host; very long pages are read whole, in linear time; an empty table
@@ -67,6 +68,8 @@ class Node:
         self.hash = 0
 
 
+#: Templates that are broadcast: pairs (host, subtree) in all, and of one host.
+BROADCAST_PAIRS, HOST_LIST = 1_000_000, 2_000
 #: How surely a part is no main text: names that speak for both, names alone, tags and roles.
 BOTH, NAMED, MARKED = 1, 2, 3
 
@@ -344,9 +347,14 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     parsed = keep(rows.mapInArrow(_parse, PARSED).withColumn("uid", F.monotonically_increasing_id()), "html-blocks")
     sites = keep(templates(parsed, **options), "html-templates")
-    met = keep(parsed.select("uid", "host", F.explode("hashes").alias("h")).join(sites, ["host", "h"]).select("uid", "h"), "html-met")
-    joined = parsed.join(met.groupBy("uid").agg(F.collect_list("h").alias("own")), "uid", "left")
     none = F.array().cast("array<long>")
+    longest = sites.groupBy("host").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    if (longest["n"] or 0) <= BROADCAST_PAIRS and (longest["most"] or 0) <= HOST_LIST:
+        lists = F.broadcast(sites.groupBy("host").agg(F.collect_list("h").alias("template")))
+        joined = parsed.join(lists, "host", "left").withColumn("own", F.array_intersect("hashes", F.coalesce("template", none)))
+    else:
+        met = keep(parsed.select("uid", "host", F.explode("hashes").alias("h")).join(sites, ["host", "h"]).select("uid", "h"), "html-met")
+        joined = parsed.join(met.groupBy("uid").agg(F.collect_list("h").alias("own")), "uid", "left")
     left = joined.withColumn("left", F.filter("blocks", lambda b: ~F.arrays_overlap(b["chain"], F.coalesce("own", none))))
 
     def size(most: int) -> Column:
