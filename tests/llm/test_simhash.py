@@ -65,8 +65,27 @@ def test_trie_links_span_the_components_of_all_pairs():
     assert {i: find(i) for i in name} == slow_components(rows)
 
 
-@pytest.mark.parametrize("group_rows", [20_000, 3])
-def test_near_duplicates_equal_brute_force(spark, group_rows):
+@pytest.mark.parametrize("keys,blocks,bits", [(10**6, 1, 12), (10**9, 2, 20), (10**12, 3, 27), (5 * 10**13, 4, 32)])
+def test_covers_grow_with_the_keys_and_lose_no_pair(keys, blocks, bits):
+    choices = simhash.cover(keys, 4, 20_000)
+    assert all(len(top) == blocks and sum(w for _, w in top) >= bits and sorted(top + rest)[0][0] == 0 and sum(w for _, w in top + rest) == 64 for top, rest in choices)
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 2**63, 500, dtype=np.int64).astype(np.uint64)
+    b = a.copy()
+    for _ in range(4):
+        b ^= np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)
+    agree = np.zeros(500, bool)
+    for top, rest in choices:
+        depth = np.uint64(64 - sum(w for _, w in top))
+        agree |= simhash._turn(a, top + rest) >> depth == simhash._turn(b, top + rest) >> depth
+    assert agree.all()
+
+
+@pytest.mark.parametrize("group_rows,keys", [(20_000, None), (3, None), (20_000, 10**10)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, group_rows, keys):
+    if keys:
+        whole = simhash.cover
+        monkeypatch.setattr(simhash, "cover", lambda n, budget, rows: whole(keys, budget, rows))
     rnd = random.Random(5)
     words = [f"w{i}" for i in range(300)]
     texts = [None, "", " \t\n", "One", "one two THREE", "x" * 30_000, "é ß Ä"] + ["one two three four five"] * 3

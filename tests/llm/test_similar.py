@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from vespera.llm.similar import deduplicate
+from vespera.llm.simhash import deduplicate
+from vespera.llm.similar import near_groups
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -37,7 +38,18 @@ def test_chains_nulls_and_repeated_rows(spark):
     texts = [" ".join(base[k:] + [f"x{i}" for i in range(k)]) for k in range(0, 60, 6)]  # each like the next
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(20, None, 1), (21, "", 1), (None, texts[0], 1), (30, "alone", 1), (30, "alone", 1), (31, "ALONE", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, node int")
-    out = deduplicate(docs)
+    out = deduplicate(docs, width=5, similarity=0.8)
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.collect()) == [0, 20, 30, 30]
-    assert deduplicate(docs.limit(0)).count() == 0
+    assert deduplicate(docs.limit(0), width=5, similarity=0.8).count() == 0
+
+
+def test_fingerprints_alone_link_very_near_copies(spark):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(0, 60, 2):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(3000)]
+        rows += [(i, " ".join(base)), (i + 1, " ".join([*base, "more"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_groups(docs, by_bands=False).collect()}
+    assert sum(got[i] == got[i + 1] for i in range(0, 60, 2)) >= 28 and len(set(got.values())) >= 30

@@ -7,58 +7,67 @@ more than half of the shingles' XXH64 hashes (seed 42) have it. No word: fingerp
 Self-join. Equal fingerprints are one key of the join, so copies cost one row. Seen as strings
 of 64 bits the keys form a binary trie. Two nodes of one level are traversed together, their
 differing bits are accumulated, and a pair of nodes is pruned once it exceeds the budget.
-To spread the traversal over tasks the trie is built in five rotations, one for each block of
-12 or 13 bits brought to the top: a pair within four bits agrees wholly in at least one
-of the five blocks, so in each rotation only node pairs (x, x) are followed through the top block,
-and every subtree below a top block is one task's work. No pair is lost, and each key is sent
-five times whatever the size of the table.
+To spread the traversal over tasks the 64 bits are cut into blocks, and the trie is built once for each choice of
+blocks brought to the top: of five blocks a pair within four bits agrees wholly in at least one, of six in two, of seven in
+three. So under each choice only node pairs (x, x) are followed through the top blocks, every subtree below them is one
+task's work, and no pair is lost. Blocks are as many as keep subtrees small: 5 copies of a key up to 1.6e8 keys (8192
+subtrees a choice), 15 up to 2e10 (2**20), 35 up to 2e12 (2**27).
 
-Skew. A subtree with more than ``group_rows`` keys is dealt over pairs of salted parts, all
+Skew. A subtree that still has more than ``group_rows`` keys is dealt over pairs of salted parts, all
 pairs of which are traversed. Within a subtree only links that join two components
 so far apart are emitted (a spanning forest), never all pairs of a group.
 
+Near copies of some similarity. ``deduplicate(..., similarity=0.8)`` asks for the Jaccard similarity of shingle sets. Four
+bits find few pairs at 0.8 (about ten bits apart), and no cover of 64 bits reaches ten errors without comparing most keys; so the
+trie's links are joined there by candidates of MinHash bands, and all are decided by their shingle sets (similar.py).
+
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated
 rows keep their own row; a null doc_id is never a component's name unless nothing else
-is there; an empty table gives an empty result.
+is there; very long texts are read whole; an empty table gives an empty result; extra columns, whatever their
+names, are passed through by :func:`deduplicate` and not read otherwise.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vespera.llm.common import Kept, fit_name, keep, text_key
 from vespera.llm.components import connected_components
 
-#: First bit (from the top) and width of the five blocks.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 SEED = 42
 CHUNK = 1 << 15
 LEAF = 64
 
 
-def fingerprint(text: bytes | None, width: int = 4) -> int:
-    """The 64-bit fingerprint of a UTF-8 text."""
+def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """XXH64 of each shingle of a UTF-8 text, repeats included."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - width + 1)
-    last = ends[min(width, len(words)) - 1 :].tolist()
-    starts = starts[:n].tolist()
-    digest, counts = xxhash.xxh64_digest, np.zeros(64, np.int64)
-    for i in range(0, n, CHUNK):
-        raw = b"".join([digest(line[a:b], SEED) for a, b in zip(starts[i : i + CHUNK], last[i : i + CHUNK])])
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
+    starts = [0, *(e + 1 for e in ends[:-1])]
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(line[a:b], SEED) for a, b in zip(starts, ends[min(width, len(words)) - 1 :])]), ">u8")
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), CHUNK):
+        counts += np.unpackbits(hashes[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: bytes | None, width: int = 4) -> int:
+    """The 64-bit fingerprint of a UTF-8 text."""
+    return fingerprint_of(shingle_hashes(text, width))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -67,10 +76,30 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
         yield pa.record_batch([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["key", "fp"])
 
 
-def _spread(fp: np.ndarray, start: int) -> np.ndarray:
-    """Rotate each fingerprint so that bit ``start`` (from the top) comes first."""
-    s = np.uint64(start)
-    return fp if start == 0 else (fp << s) | (fp >> np.uint64(64 - start))
+Block = tuple[int, int]
+
+
+def cover(keys: int, budget: int, group_rows: int) -> list[tuple[list[Block], list[Block]]]:
+    """Choices of blocks (first bit from the top, width) that are brought to the top, each with the blocks left over.
+
+    A pair within the budget agrees in all top blocks of at least one choice. As many blocks are taken as leave
+    about ``group_rows`` of ``keys`` in a subtree.
+    """
+    for agree in range(1, 9):
+        count = budget + agree
+        ends = [64 * i // count for i in range(count + 1)]
+        if keys >> (agree * (64 // count)) <= group_rows:
+            break
+    blocks = [(a, b - a) for a, b in zip(ends, ends[1:])]
+    return [([blocks[i] for i in top], [x for i, x in enumerate(blocks) if i not in top]) for top in combinations(range(count), agree)]
+
+
+def _turn(fp: np.ndarray, order: list[Block]) -> np.ndarray:
+    """Each fingerprint with its blocks in another order."""
+    out = np.zeros_like(fp)
+    for start, width in order:
+        out = (out << np.uint64(width)) | ((fp >> np.uint64(64 - start - width)) & np.uint64((1 << width) - 1))
+    return out
 
 
 class _Forest:
@@ -136,12 +165,13 @@ def trie_links(keys: np.ndarray, budget: int = 4) -> list[tuple[int, int]]:
     return forest.links
 
 
-def _join_groups(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
-    """Rows (g, block, fp) sorted by g: links within each run of one g. A run may span batches."""
+def _join_groups(batches: Iterator[pa.RecordBatch], budget: int, choices: list[tuple[list[Block], list[Block]]]) -> Iterator[pa.RecordBatch]:
+    """Rows (g, choice, fp) sorted by g: links within each run of one g. A run may span batches."""
     names = ["a", "b"]
 
-    def solve(fp: np.ndarray, block: int) -> list[np.ndarray]:
-        turned = _spread(fp.view(np.uint64), BLOCKS[block][0])
+    def solve(fp: np.ndarray, choice: int) -> list[np.ndarray]:
+        top, rest = choices[choice]
+        turned = _turn(fp.view(np.uint64), top + rest)
         order = np.argsort(turned)
         pairs = np.array(trie_links(turned[order], budget), np.int64).reshape(-1, 2)
         return [fp[order[pairs[:, 0]]], fp[order[pairs[:, 1]]]]
@@ -164,20 +194,27 @@ def _join_groups(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.
 
 def trie_self_join(keys: DataFrame, budget: int = 4, group_rows: int = 20_000) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of distinct ``fp`` within the budget."""
-    if budget > 4:
-        raise ValueError("five blocks cover budgets up to four bits")
-    top = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", 64 - s - w).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for k, (s, w) in enumerate(BLOCKS)])
-    dealt = keys.select("fp", F.explode(top).alias("t")).select("fp", "t.block", "t.value")
-    full = Kept(dealt.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > group_rows), "simhash-full")
+    choices = cover(keys.count(), budget, group_rows)
+
+    def bits(top: list[Block]) -> Column:
+        out = F.lit(0).cast("long")
+        for start, width in top:
+            part = F.shiftrightunsigned("fp", 64 - start - width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+            out = F.shiftleft(out, width).bitwiseOR(part)
+        return out
+
+    top = F.array(*[F.struct(F.lit(k).alias("choice"), bits(t).alias("value")) for k, (t, _) in enumerate(choices)])
+    dealt = keys.select("fp", F.explode(top).alias("t")).select("fp", "t.choice", "t.value")
+    full = Kept(dealt.groupBy("choice", "value").agg(F.count("*").alias("n")).where(F.col("n") > group_rows), "simhash-full")
     if full.df.take(1):
         parts = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / group_rows).cast("int")
-        dealt = dealt.join(full.df, ["block", "value"], "left").withColumn("k", parts)
+        dealt = dealt.join(full.df, ["choice", "value"], "left").withColumn("k", parts)
         dealt = dealt.withColumn("s", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        dealt = dealt.withColumn("g", F.xxhash64("block", "value", F.least("s", "t"), F.greatest("s", "t")))
+        dealt = dealt.withColumn("g", F.xxhash64("choice", "value", F.least("s", "t"), F.greatest("s", "t")))
     else:
-        dealt = dealt.withColumn("g", F.col("block") * F.lit(1 << 13).cast("long") + F.col("value"))
-    dealt = dealt.select("g", "block", "fp").repartition("g").sortWithinPartitions("g", "block")
-    return dealt.mapInArrow(lambda it: _join_groups(it, budget), "a long, b long")
+        dealt = dealt.withColumn("g", F.xxhash64("choice", "value"))
+    dealt = dealt.select("g", "choice", "fp").repartition("g").sortWithinPartitions("g", "choice")
+    return dealt.mapInArrow(lambda it: _join_groups(it, budget, choices), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4, group_rows: int = 20_000) -> DataFrame:
@@ -197,13 +234,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(table, "fp").select("doc_id", "fp", "component_id", "tkey")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **options) -> DataFrame:
     """One document of each group stays: the one that names it; all columns are kept.
 
+    With ``similarity`` links are pairs of that Jaccard similarity of their shingle sets, found by fingerprints and bands.
     Rows that share the naming id but not its text stay too (ids are taken as row names).
     A group without any id keeps all its rows.
     """
+    if similarity is not None:
+        from vespera.llm.similar import near_groups
+
+        groups = near_groups(docs, id_col, text_col, similarity=similarity, **options)
+        return without_copies(docs, groups, id_col, text_col)
     groups = near_duplicates(docs, id_col, text_col, **options)
+    return without_copies(docs, groups, id_col, text_col)
+
+
+def without_copies(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that name their group (doc_id, component_id, tkey), or whose group nothing names."""
     gone = keep(groups.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_i"), F.col("tkey").alias("_k")).distinct(), "simhash-gone")
     key = fit_name(docs, "_tkey")
     keyed = docs.withColumn(key, text_key(F.coalesce(F.col(text_col), F.lit(""))))
