@@ -9,7 +9,8 @@ short lines hold a whole chunk.
 
 Edges. Around a chunk that occurs more than once the passage may go on. Up to ``REACH`` lines on each side are chained to
 it: the key of a line at distance j is the hash of the key at distance j - 1 and the line. A chained line is
-repeated if its key is. As more lines than that would hold a chunk, a repeated passage that holds a line of
+repeated if its key is. Only chunks that somewhere end beside a line that no repeated chunk covers are chained, on that
+side, wherever they occur. As more lines than that would hold a chunk, a repeated passage that holds a line of
 ``min_words`` words or five lines is found whole, however its surroundings differ.
 
 Removal. A line goes when a chunk, or a chunk's chained line, that holds it has occurred before (lower id, then text key,
@@ -77,14 +78,24 @@ def chunks(hashes: bytes, long: bytes, digest: Digest = xxhash.xxh3_128_digest)
                 yield a, b + 2, digest(hashes[WIDTH * a : WIDTH * (b + 2)])
 
 
-def chains(hashes: bytes, first: int, end: int, key: bytes, digest: Digest = xxhash.xxh3_128_digest) -> Iterator[tuple[int, bytes]]:
-    """(line, key) of the lines around a chunk, outward."""
+def chains(hashes: bytes, first: int, end: int, key: bytes, sides: str, digest: Digest = xxhash.xxh3_128_digest) -> Iterator[tuple[int, bytes]]:
+    """(line, key) of the lines around a chunk on some sides, outward."""
     n = len(hashes) // WIDTH
-    for side, lines in ((b"<", range(first - 1, max(-1, first - 1 - REACH), -1)), (b">", range(end, min(n, end + REACH)))):
-        now = key
-        for i in lines:
-            now = digest(now + side + hashes[WIDTH * i : WIDTH * (i + 1)])
-            yield i, now
+    for side, lines in (("<", range(first - 1, max(-1, first - 1 - REACH), -1)), (">", range(end, min(n, end + REACH)))):
+        if side in sides:
+            now = key
+            for i in lines:
+                now = digest(now + side.encode() + hashes[WIDTH * i : WIDTH * (i + 1)])
+                yield i, now
+
+
+def open_sides(n: int, spans: list[tuple[int, int]]) -> list[str]:
+    """For each chunk (first, end) of a text of n lines the sides on which a line follows that no chunk covers."""
+    covered = np.zeros(n + 2, bool)
+    covered[[0, -1]] = True  # beyond the text there is nothing to chain
+    for a, b in spans:
+        covered[a + 1 : b + 1] = True
+    return ["<" * (not covered[a]) + ">" * (not covered[b + 1]) for a, b in spans]
 
 
 def _digests(batches: Iterator[pa.RecordBatch], min_words: int, digest: Digest) -> Iterator[pa.RecordBatch]:
@@ -105,13 +116,23 @@ def _chunks(batches: Iterator[pa.RecordBatch], digest: Digest) -> Iterator[pa.Re
         yield _rows(batch, [(i, key, a, b, a, b) for i, (h, long) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3)))) for a, b, key in chunks(h, long, digest)])
 
 
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, side) of the chunks beside uncovered lines; the columns are the hashes and the repeated chunks of texts."""
+    for batch in batches:
+        found = set()
+        for hashes, marked in zip(*(c.to_pylist() for c in batch.columns)):
+            sides = open_sides(len(hashes) // WIDTH, [(m["first"], m["end"]) for m in marked])
+            found.update((m["h"], side) for m, s in zip(marked, sides) for side in s)
+        yield pa.record_batch([pa.array([h for h, _ in found], pa.binary()), pa.array([s for _, s in found], pa.string())], ["h", "side"])
+
+
 def _chains(batches: Iterator[pa.RecordBatch], digest: Digest) -> Iterator[pa.RecordBatch]:
-    """Chained lines of the repeated chunks that the last column lists."""
+    """Chained lines of the chunks that the last column lists, with the sides on which they are chained."""
     for batch in batches:
         rows = []
         for i, (hashes, marked) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3)))):
             for m in marked:
-                rows += [(i, key, line, line + 1, min(line, m["first"]), max(line + 1, m["end"])) for line, key in chains(hashes, m["first"], m["end"], m["h"], digest)]
+                rows += [(i, key, line, line + 1, min(line, m["first"]), max(line + 1, m["end"])) for line, key in chains(hashes, m["first"], m["end"], m["h"], m["sides"], digest)]
         yield _rows(batch, rows)
 
 
@@ -137,7 +158,7 @@ def _bodies(batches: Iterator[pa.RecordBatch], digest: Digest) -> Iterator[pa.Re
                 key = digest(hashes[WIDTH * a : WIDTH * (a + end - first)])
                 found.add((key, b"\n".join(lines[first:end])))
                 before = {"<": key, ">": key}
-                for line, now in chains(hashes, a, a + end - first, key, digest):
+                for line, now in chains(hashes, a, a + end - first, key, "<>", digest):
                     side = "<" if line < a else ">"
                     if now in wanted:
                         found.add((now, side.encode() + before[side] + lines[line - a + first]))
@@ -195,14 +216,16 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     bad: DataFrame | None = None
     while True:
         met = _repeated(table if bad is None else table.join(bad, "h", "left_anti"))
-        around = met.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("first", "end", "h")).alias("marked"))
-        around = hashed.alias("a").join(around.alias("b"), by_row).select("a.doc_id", "a.tkey", "a.hashes", "b.marked")
+        marked = met.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("first", "end", "h")).alias("marked"))
+        beside = hashed.alias("a").join(marked.alias("b"), by_row).select("a.hashes", "b.marked").mapInArrow(_open, "h binary, side string")
+        sides = keep(beside.distinct().groupBy("h").agg(F.array_join(F.collect_set("side"), "").alias("sides")), "lines-open")
+        chained = met.join(sides, "h").groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("first", "end", "h", "sides")).alias("marked"))
+        around = hashed.alias("a").join(chained.alias("b"), by_row).select("a.doc_id", "a.tkey", "a.hashes", "b.marked")
         chained = keep(around.mapInArrow(lambda it: _chains(it, digest), places), "lines-chained")
         also = _repeated(chained if bad is None else chained.join(bad, "h", "left_anti"))
         marks = met.union(also).groupBy(F.col("doc_id").alias("_i"), F.col("tkey").alias("_k")).agg(F.collect_set(F.struct("h", "line", "until", "first", "end", "stays")).alias("_marked"))
         joined = keep(keyed.join(marks, same, "left").drop("_i", "_k", key), "lines-marked")  # texts are shuffled here alone
-        marked = joined.where("_marked is not null").select(text.cast("binary").alias("text"), "_marked")
-        bodies = marked.mapInArrow(lambda it: _bodies(it, digest), "h binary, body binary")
+        bodies = joined.where("_marked is not null").select(text.cast("binary").alias("text"), "_marked").mapInArrow(lambda it: _bodies(it, digest), "h binary, body binary")
         shared = keep(bodies.distinct().groupBy("h").count().where("count > 1").select("h"), "lines-shared")
         if not shared.take(1):
             break
