@@ -49,6 +49,46 @@ def test_exact_batch_and_int8_agree_with_brute_force(spark, metric):
     assert knn.top_k(docs, q[0].tolist(), 10, metric, ["bucket", "Eq", 99]).count() == 0
 
 
+@pytest.mark.parametrize("metric", V.METRICS)
+def test_vectors_without_a_distance_are_never_near(spark, metric):
+    odd = [None, [], [1.0], [1.0, None], [1.0, float("nan")], [float("inf"), 0.0], [0.0, 0.0], [1.0, 0.1], [1.0, 0.0, 0.0]]
+    docs = spark.createDataFrame(list(enumerate(odd)), "id long, vector array<float>")
+    want = {7} if metric == "cosine_distance" else {6, 7}
+    assert {r.id for r in knn.top_k(docs, [1.0, 0.0], 9, metric).collect()} == want
+    assert {r.id for r in knn.int8_top_k(docs, [1.0, 0.0], 9, metric).collect()} == want
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, float("nan")]), (3, None), (4, [2.0, 0.5])], "qid long, q array<double>").coalesce(1)
+    got = knn.batch_top_k(docs, asked, 9, metric).collect()
+    assert {(r.qid, r.id) for r in got} == {(q, i) for q in (1, 4) for i in want}
+    near = knn.int8_batch_top_k(docs, asked, [4, 8], 9, metric).collect()
+    assert {(r.pool, r.qid, r.id) for r in near} == {(p, q, i) for p in (4, 8) for q in (1, 4) for i in want}
+    sharded = docs.withColumn("shard", F.col("id") % 2)
+    assert {r.id for r in knn.sharded_top_k(sharded, [1.0, 0.0], 9, metric).collect()} == want
+    cells = {r.id: r.cell for r in knn.assign_cells(docs, np.eye(2)).collect()}
+    assert cells[7] == 0 and [cells[i] for i in (0, 1, 2, 3, 4, 5, 8)] == [-1] * 7
+
+
+def test_blocks_of_queries_and_small_k(spark, monkeypatch):
+    x = RNG.normal(size=(300, 8))
+    docs = frame(spark, x).cache()
+    asked = docs.select(F.col("id").alias("qid"), F.col("vector").alias("q"))
+    whole = sorted(map(tuple, knn.batch_top_k(docs, asked, 3).collect()))
+    monkeypatch.setattr(knn, "BLOCK_NUMBERS", 8 * 64)
+    assert sorted(map(tuple, knn.batch_top_k(docs, asked, 3).collect())) == whole and len(whole) == 900
+    assert {r.rn for r in knn.batch_top_k(docs, asked, 0).collect()} == {1}
+    partial = docs.select("id", F.lit(0.5).alias("distance"))
+    assert knn.merge_shards(partial, 0).count() == 1 and knn.int8_top_k(docs, x[0].tolist(), 0).count() == 1
+
+
+def test_probing_reads_only_its_cells(spark, tmp_path):
+    docs = frame(spark, RNG.normal(size=(400, 8)))
+    centres = knn.fit_cells(docs, 6)
+    celled = knn.write_cells(knn.assign_cells(docs, centres), f"file://{tmp_path}/cells")
+    probe = knn.probe_top_k(celled, centres, [1.0] * 8, 2)
+    plan = probe._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
+    assert probe.count() == 10
+
+
 def test_batch_ties_go_to_the_smaller_id(spark):
     docs = frame(spark, np.array([[1.0, 0.0]] * 40 + [[0.0, 1.0]]))
     asked = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, q array<double>")

@@ -41,8 +41,13 @@ def l2_squared(a: Column, b: Column) -> Column:
     return _total(F.zip_with(_double(a), _double(b), lambda x, y: (x - y) * (x - y)))
 
 
+def _cosine(ab: Column, norms: Column) -> Column:
+    """Null where there is no direction, or a component is missing."""
+    return F.when((norms > 0) & ab.isNotNull(), F.greatest(F.lit(0.0), 1 - ab / norms))
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
-    return F.greatest(F.lit(0.0), 1 - dot(a, b) / (l2_norm(a) * l2_norm(b)))
+    return _cosine(dot(a, b), l2_norm(a) * l2_norm(b))
 
 
 def normalize(v: Column) -> Column:
@@ -59,6 +64,16 @@ def distance(metric: str, a: Column, b: Column) -> Column:
     return forms[metric](a, b)
 
 
+def distance_from(metric: str, a: Column, a_sq: Column, b: Column) -> Column:
+    """The distance, with the stored squared norm of a."""
+    return _cosine(dot(a, b), F.sqrt(a_sq) * l2_norm(b)) if metric == "cosine_distance" else distance(metric, a, b)
+
+
+def sound(distance_: Column) -> Column:
+    """Whether a distance can be ranked: vectors that are null, zero (by cosine), of another length or not finite have none."""
+    return distance_.isNotNull() & (F.abs(distance_) < float("inf"))
+
+
 def problem(v: Column, metric: str = "cosine_distance") -> Column:
     """Null for a valid vector, else what is wrong: empty, not_finite, zero or overflow."""
     finite = F.forall(_double(v), lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))

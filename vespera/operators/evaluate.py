@@ -34,10 +34,14 @@ def mrr_at_k(ranking: DataFrame, relevant: DataFrame) -> DataFrame:
     return first.agg(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr"))
 
 
-def ndcg_at_k(ranking: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """Binary gains over the ideal ranking of min(relevant, k) hits."""
+def ndcg_at_k(ranking: DataFrame, relevant: DataFrame, k: int, sizes: DataFrame | None = None) -> DataFrame:
+    """Binary gains over the ideal ranking of min(relevant, k) hits.
+
+    ``sizes`` (qid, n) tells how many rows are relevant where ``relevant`` lists only those that were ranked.
+    """
     gain = _judged(ranking, relevant).where(F.col("rn") <= k).groupBy("qid").agg(F.sum(F.when(F.col("rel") == 1, 1.0 / F.log2(F.col("rn") + 1.0)).otherwise(0.0)).alias("gain"))
-    size = relevant.distinct().groupBy("qid").agg(F.least(F.count("*"), F.lit(k)).alias("n"))
+    size = relevant.distinct().groupBy("qid").agg(F.count("*").alias("n")) if sizes is None else sizes
+    size = size.select("qid", F.least("n", F.lit(k)).alias("n"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), F.lit(0.0), lambda s, r: s + 1.0 / F.log2(r + 1.0))
     return gain.join(size, "qid", "left").agg(F.avg(F.when(F.col("n") > 0, F.col("gain") / ideal).otherwise(0.0)).alias("ndcg"))
 

@@ -1,21 +1,25 @@
 """Nearest-neighbour operators: exact, filtered, batched, int8 with rerank, cell-pruned, sharded.
 
-One order everywhere: distance ascending, then id ascending.
+One order everywhere: distance ascending, then id ascending. Vectors that are null, of another length than the query, not
+finite, or zero under cosine have no distance and are never returned. k is at least 1.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vespera.functions import vectors as V
 from vespera.plans.filters import compile_filter
+from vespera.sources.store import work_dir
 
 #: Queries of one pass over the corpus, at most this many numbers (32 MB of doubles).
 BLOCK_NUMBERS = 4_000_000
@@ -37,7 +41,7 @@ def top_k(docs: DataFrame, query: Sequence[float], k: int = 10, metric: str = "c
     """Exact k nearest rows to one query: the filter goes below the top-k, attributes travel with their row."""
     keep = _included(docs, include, id_col, vec_col)
     rows = _filtered(docs, filters, id_col).select(F.col(id_col).alias("id"), V.distance(metric, F.col(vec_col), V.literal(query)).alias("distance"), *keep)
-    return rows.orderBy("distance", "id").limit(max(1, k))
+    return rows.where(V.sound(F.col("distance"))).orderBy("distance", "id").limit(max(1, k))
 
 
 def to_json(result: DataFrame) -> DataFrame:
@@ -48,79 +52,166 @@ def to_json(result: DataFrame) -> DataFrame:
 
 def int8_top_k(docs: DataFrame, query: Sequence[float], k: int = 10, metric: str = "cosine_distance", rerank: int = 4, exact: bool = True, filters: Any = None, id_col: str = "id", vec_col: str = "vector") -> DataFrame:
     """Candidates by int8 codes, then exact distances of the best max(k * rerank, 64); or codes alone."""
-    vec, q = F.col(vec_col), V.literal(query)
+    vec, q, k = F.col(vec_col), V.literal(query), max(1, k)
     rows = _filtered(docs, filters, id_col)
     coded = rows.select(F.col(id_col).alias("id"), vec.alias("v"), V.int8_codes(vec).alias("c"), V.int8_scale(vec).alias("s"), V.dot(vec, vec).alias("n"))
-    rough = coded.withColumn("rough", V.int8_distance(metric, F.col("c"), F.col("s"), F.col("n"), V.int8_codes(q), V.int8_scale(q), V.dot(q, q)))
+    coded = coded.where((F.size("v") == len(query)) & (F.lit(metric != "cosine_distance") | (F.col("n") > 0)))
+    rough = coded.withColumn("rough", V.int8_distance(metric, F.col("c"), F.col("s"), F.col("n"), V.int8_codes(q), V.int8_scale(q), V.dot(q, q))).where(V.sound(F.col("n")))
     if not exact:
         return rough.select("id", F.col("rough").alias("distance")).orderBy("distance", "id").limit(k)
     pool = rough.select("id", "v", "rough").orderBy("rough", "id").limit(max(k * max(rerank, 1), 64))
     return pool.select("id", V.distance(metric, F.col("v"), q).alias("distance")).orderBy("distance", "id").limit(k)
 
 
+def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, matrix) of the rows that hold dim finite numbers."""
+    fits = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False)
+    rows = np.flatnonzero(fits.to_numpy(zero_copy_only=False))
+    x = column.filter(fits).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dim)
+    fine = np.isfinite(x).all(axis=1)
+    return rows[fine], x[fine]
+
+
+def _near(d: np.ndarray, k: int, slack: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the k smallest of each row of d; ties, and what lies within the slack, stay in."""
+    if d.shape[1] <= k:
+        return np.divmod(np.arange(d.size), d.shape[1])
+    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    return np.nonzero(d <= edge + slack)
+
+
 def _candidates(batches: Iterator[pa.RecordBatch], q: np.ndarray, qids: np.ndarray, k: int, metric: str) -> Iterator[pa.RecordBatch]:
-    """For each query the rows of a batch that may be among its k nearest, by one matrix product."""
+    """For each query the rows (id, v) of a batch that may be among its k nearest, by one matrix product."""
     norm_q = (q * q).sum(axis=1)
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64)
+        at, x = _matrix(batch.column(1), q.shape[1])
         norm = (x * x).sum(axis=1)
+        if metric == "cosine_distance":
+            at, x, norm = at[norm > 0], x[norm > 0], norm[norm > 0]
+        if not len(at):
+            continue
         rows, asks = [], []
-        step = max(1, 8_000_000 // n)
+        step = max(1, 8_000_000 // len(at))
         for i in range(0, len(q), step):
             d = q[i : i + step] @ x.T
             if metric == "cosine_distance":
-                d = -d / np.sqrt(np.maximum(norm, 1e-300))
+                d = -d / np.sqrt(norm)
             elif metric == "euclidean_squared":
                 d = norm - 2 * d
             else:
                 d = -d
-            if n > k:
-                edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-                slack = 1e-9 * (np.abs(edge) + np.sqrt(norm_q[i : i + step, None] + 1) * (1 + norm.max()))
-                ask, row = np.nonzero(d <= edge + slack)  # ties and rounding stay in; exact distances follow
-            else:
-                ask, row = np.divmod(np.arange(d.size), n)
+            # Room for rounding: exact distances follow.
+            ask, row = _near(d, k, 1e-9 * (np.abs(d).max() + np.sqrt(norm_q[i : i + step, None] + 1) * (1 + norm.max())))
             asks.append(ask + i)
-            rows.append(row)
+            rows.append(at[row])
         take = pa.array(np.concatenate(rows))
         yield pa.record_batch([pa.array(qids[np.concatenate(asks)]), batch.column(0).take(take), batch.column(1).take(take)], ["qid", "id", "v"])
 
 
+def _rough(batches: Iterator[pa.RecordBatch], q: np.ndarray, q_scale: np.ndarray, q_norm: np.ndarray, qids: np.ndarray, pool: int, metric: str) -> Iterator[pa.RecordBatch]:
+    """For each query the rows (id, v, codes, scale, squared norm) of a batch that may be among its best by codes."""
+    for batch in batches:
+        at, x = _matrix(batch.column(2), q.shape[1])
+        if not len(at):
+            continue
+        scale, norm = (batch.column(c).to_numpy(zero_copy_only=False)[at] for c in (3, 4))
+        rows, asks, found = [], [], []
+        step = max(1, 8_000_000 // len(at))
+        for i in range(0, len(q), step):
+            ab = (q[i : i + step] @ x.T) * scale * q_scale[i : i + step, None]
+            if metric == "cosine_distance":
+                d = np.maximum(0, 1 - ab / np.sqrt(norm * q_norm[i : i + step, None]))
+            elif metric == "euclidean_squared":
+                d = np.maximum(0, norm + q_norm[i : i + step, None] - 2 * ab)
+            else:
+                d = -ab
+            ask, row = _near(d, pool, 0.0)
+            asks.append(ask + i)
+            rows.append(at[row])
+            found.append(d[ask, row])
+        take = pa.array(np.concatenate(rows))
+        yield pa.record_batch([pa.array(qids[np.concatenate(asks)]), batch.column(0).take(take), pa.array(np.concatenate(found)), batch.column(1).take(take)], ["qid", "id", "rough", "v"])
+
+
+def _by_blocks(queries: DataFrame, numbers: int, one: Callable[[list], DataFrame]) -> DataFrame | None:
+    """The results of bounded blocks of a query table, one after another.
+
+    The driver holds one block at a time. A single block stays lazy; of several each one's result is
+    written, so neither plans nor closures grow with the query table.
+    """
+    rows = queries.toLocalIterator()
+    first = list(islice(rows, max(1, BLOCK_NUMBERS // numbers)))
+    if not first:
+        return None
+    block = list(islice(rows, len(first)))
+    if not block:
+        return one(first)
+    path = f"{work_dir(queries.sparkSession)}/blocks"
+    one(first).write.parquet(path)
+    while block:
+        one(block).write.mode("append").parquet(path)
+        block = list(islice(rows, len(first)))
+    return queries.sparkSession.read.parquet(path)
+
+
+def _usable(q: Column, dim: int, metric: str) -> Column:
+    return (F.size(q) == dim) & (V.problem(q, metric).isNull())
+
+
 def batch_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine_distance", filters: Any = None, id_col: str = "id", vec_col: str = "vector") -> DataFrame:
-    """k nearest rows for each row (qid, q) of a query table: (qid, rn, id, distance).
+    """k nearest rows for each row (qid, q) of a query table: (qid, rn, id, distance). Queries take part if they have the
+    most common length and are sound.
 
     Blocks of the query set, of bounded size, meet every batch of the corpus in one matrix product; few rows per
     batch and query go on to exact distances and a window whose limit Spark applies before the shuffle.
     """
     if metric not in V.METRICS:
         raise ValueError(f"unknown metric {metric!r}")
+    k = max(1, k)
     rows = _filtered(docs, filters, id_col).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
-    asked = queries.select(F.col("qid").cast("long").alias("qid"), F.col("q").cast("array<double>").alias("q"))
-    parts: list[DataFrame] = []
-    block: list[tuple[int, list[float]]] = []
-
-    def flush() -> None:
-        if block:
-            q, qids = np.array([b[1] for b in block]), np.array([b[0] for b in block], np.int64)
-            parts.append(rows.mapInArrow(lambda it, q=q, qids=qids: _candidates(it, q, qids, k, metric), "qid long, id long, v array<float>"))
-            block.clear()
-
-    for r in asked.toLocalIterator():
-        block.append((r["qid"], r["q"]))
-        if len(block) * len(r["q"]) >= BLOCK_NUMBERS:
-            flush()
-    flush()
-    if not parts:
+    asked = queries.select(F.col("qid").cast("long").alias("qid"), F.col("q").cast("array<double>").alias("q")).where("qid is not null and q is not null")
+    if not (some := asked.groupBy(F.size("q").alias("dim")).count().orderBy(F.desc("count"), "dim").first()):
         return asked.limit(0).select("qid", F.lit(1).alias("rn"), F.col("qid").alias("id"), F.lit(0.0).alias("distance"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    exact = found.join(asked, "qid").select("qid", "id", V.distance(metric, F.col("v"), F.col("q")).alias("distance"))
-    best = Window.partitionBy("qid").orderBy("distance", "id")
-    return exact.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k).select("qid", "rn", "id", "distance")
+    dim = some[0]
+    asked = asked.where(_usable(F.col("q"), dim, metric))
+
+    def one(block: list) -> DataFrame:
+        q, qids = np.array([b["q"] for b in block]), np.array([b["qid"] for b in block], np.int64)
+        found = rows.mapInArrow(lambda it: _candidates(it, q, qids, k, metric), "qid long, id long, v array<float>")
+        exact = found.join(asked, "qid").select("qid", "id", V.distance(metric, F.col("v"), F.col("q")).alias("distance"))
+        best = Window.partitionBy("qid").orderBy("distance", "id")
+        return exact.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k).select("qid", "rn", "id", "distance")
+
+    found = _by_blocks(asked, dim, one)
+    return found if found is not None else batch_top_k(docs, queries.limit(0), k, metric)
+
+
+def int8_batch_top_k(docs: DataFrame, queries: DataFrame, pools: Sequence[int], k: int = 10, metric: str = "cosine_distance", id_col: str = "id", vec_col: str = "vector") -> DataFrame:
+    """For several pool sizes and a query table: (pool, qid, rn, id, distance), the k nearest of the best ``pool`` by int8 codes."""
+    k, most = max(1, k), max(pools)
+
+    def coded(df: DataFrame, key: str, vec: str) -> DataFrame:
+        v = F.col(vec)
+        return df.select(F.col(key).cast("long").alias(key), v.alias("v"), V.int8_codes(v).cast("array<double>").alias("c"), V.int8_scale(v).alias("s"), V.dot(v, v).alias("n")).where(V.problem(v, metric).isNull())
+
+    rows = coded(docs, id_col, vec_col).select(F.col(id_col).alias("id"), F.col("v").cast("array<float>").alias("v"), "c", "s", "n")
+    asked = coded(queries, "qid", "q")
+    dim = (asked.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first() or [1])[0]
+    asked = asked.where(F.size("v") == dim)
+
+    def one(block: list) -> DataFrame:
+        q, s, n = (np.array([b[c] for b in block]) for c in "csn")
+        qids = np.array([b["qid"] for b in block], np.int64)
+        found = rows.mapInArrow(lambda it: _rough(it, q, s, n, qids, most, metric), "qid long, id long, rough double, v array<float>")
+        place = Window.partitionBy("qid").orderBy("rough", "id")
+        pool = found.withColumn("at", F.row_number().over(place)).where(F.col("at") <= most)
+        exact = pool.join(asked.select("qid", F.col("v").alias("q")), "qid").select("qid", "id", "at", V.distance(metric, F.col("v"), F.col("q")).alias("distance"))
+        each = exact.withColumn("pool", F.explode(F.array(*map(F.lit, pools)))).where("at <= pool")
+        best = Window.partitionBy("pool", "qid").orderBy("distance", "id")
+        return each.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k).select("pool", "qid", "rn", "id", "distance")
+
+    found = _by_blocks(asked, dim, one)
+    return found if found is not None else docs.sparkSession.createDataFrame([], "pool int, qid long, rn int, id long, distance double")
 
 
 def scan_limit(rows: int, ef: int) -> int:
@@ -144,21 +235,27 @@ def cell_of(vec: Column, centres: np.ndarray) -> Column:
 
 
 def assign_cells(docs: DataFrame, centres: np.ndarray, vec_col: str = "vector") -> DataFrame:
-    """Rows with their cell, by one matrix product per batch; written partitioned by cell, probing prunes folders."""
+    """Rows with their cell, by one matrix product per batch; -1 for vectors that have none."""
     at = docs.columns.index(vec_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         norm = (centres**2).sum(axis=1)
         for batch in batches:
-            n = batch.num_rows
-            x = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, centres.shape[1]))
-            cell = np.argmin(norm - 2 * x @ centres.T, axis=1)
+            rows, x = _matrix(batch.column(at), centres.shape[1])
+            cell = np.full(batch.num_rows, -1)
+            cell[rows] = np.argmin(norm - 2 * x @ centres.T, axis=1)
             yield pa.record_batch([*batch.columns, pa.array(cell, pa.int32())], [*batch.schema.names, "cell"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{fields}, cell int")
 
 
+def write_cells(celled: DataFrame, path: str) -> DataFrame:
+    """The rows written by cell: a probe of some cells reads their folders alone."""
+    celled.repartition("cell").write.partitionBy("cell").parquet(path)
+    return celled.sparkSession.read.parquet(path)
+
+
 def probe_top_k(celled: DataFrame, centres: np.ndarray, query: Sequence[float], nprobe: int, k: int = 10, metric: str = "cosine_distance", filters: Any = None, id_col: str = "id", vec_col: str = "vector") -> DataFrame:
     """Exact top-k within the nprobe cells whose centres are closest to the query."""
     near = np.argsort(((centres - np.asarray(query)) ** 2).sum(axis=1), kind="stable")[:nprobe].tolist()
@@ -167,11 +264,11 @@ def probe_top_k(celled: DataFrame, centres: np.ndarray, query: Sequence[float],
 
 def merge_shards(partial: DataFrame, k: int = 10) -> DataFrame:
     """Shards' results (id, distance) merged: nearest first, the first of each id, k in all."""
-    return partial.groupBy("id").agg(F.min("distance").alias("distance")).orderBy("distance", "id").limit(k)
+    return partial.groupBy("id").agg(F.min("distance").alias("distance")).orderBy("distance", "id").limit(max(1, k))
 
 
 def sharded_top_k(docs: DataFrame, query: Sequence[float], k: int = 10, metric: str = "cosine_distance", shard_col: str = "shard", id_col: str = "id", vec_col: str = "vector") -> DataFrame:
     """Each shard's own k nearest, then the merge."""
-    rows = docs.select(shard_col, F.col(id_col).alias("id"), V.distance(metric, F.col(vec_col), V.literal(query)).alias("distance"))
+    rows = docs.select(shard_col, F.col(id_col).alias("id"), V.distance(metric, F.col(vec_col), V.literal(query)).alias("distance")).where(V.sound(F.col("distance")))
     own = Window.partitionBy(shard_col).orderBy("distance", "id")
-    return merge_shards(rows.withColumn("rn", F.row_number().over(own)).where(F.col("rn") <= k), k)
+    return merge_shards(rows.withColumn("rn", F.row_number().over(own)).where(F.col("rn") <= max(1, k)), k)

@@ -9,7 +9,7 @@ Leaves over typed columns stay plain comparisons, which Spark pushes into the Pa
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import Any
 
@@ -155,3 +155,14 @@ def compile_filter(expr: Any, schema: StructType, id_col: str = "id") -> Column:
 def compile_tagged(expr: Any, attrs: Column, id_column: Column) -> Column:
     """The filter over a map of tagged cells."""
     return compile_with(expr, lambda name: Typed(id_column, _LONG) if name == "id" else Tagged(F.element_at(attrs, name)))
+
+
+def compile_cells(expr: Any, cells: Column, names: Sequence[str], id_column: Column) -> Column:
+    """The filter over a struct of tagged cells with those names; its leaves reach a Parquet scan like typed columns do."""
+
+    def cell_of(name: str) -> Typed | Tagged | Missing:
+        if name == "id":
+            return Typed(id_column, _LONG)
+        return Tagged(cells[name]) if name in names else Missing()
+
+    return compile_with(expr, cell_of)

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from vespera.collection import CELL, Collection
 from vespera.functions import vectors as V
-from vespera.functions.sharding import shard
+from vespera.functions.sharding import PRIME, fnv1a, key_of, shard
 from vespera.operators import evaluate, fold, knn
 from vespera.plans.filters import compile_filter
 from vespera.sources import generate, ingest
+from vespera.sources.store import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,7 +110,33 @@ def exact(name: str, metric: str) -> None:
 exact("knn_exact_cosine", "cosine_distance")
 exact("knn_exact_l2", "euclidean_squared")
 exact("knn_exact_dot", "dot_product")
-exact("knn_ann", "cosine_distance")
+
+
+def collection(spark: SparkSession, sf_dir: str, compacted: bool = True, shards: int = 1) -> Collection:
+    """The vectors as a collection with the attribute label, written through its log."""
+    c = Collection(spark, work_dir(spark), "vectors", shards)
+    c.write_tables(vectors(spark, sf_dir).select("id", "vector", attrs("label").alias("attrs")))
+    if compacted:
+        c.compact()
+    return c
+
+
+def attrs(*names: str):
+    return F.map_from_entries(F.array(*[F.struct(F.lit(n), ingest.tagged(F.col(n), "int")) for n in names])).cast(f"map<string, {CELL}>")
+
+
+@query("knn_ann", f"SELECT id, distance FROM (SELECT e.vec_id AS id, {COS} AS distance, {I8_COS} AS rough FROM embeddings e, {QUERY0} ORDER BY rough, id LIMIT 128) ORDER BY distance, id LIMIT 10")
+def knn_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection's approximate search: the best 128 by stored codes, then exact distances."""
+    return collection(spark, sf_dir).query(probe(spark, sf_dir), 10, ef=128, rerank=4)
+
+
+@query("collection_query", f"SELECT e.vec_id AS id, {COS} AS distance FROM embeddings e, {QUERY0} WHERE e.vec_id % 7 <> 0 AND e.label IN (1, 2, 3) ORDER BY distance, id LIMIT 10")
+def collection_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filtered query of a snapshot with deletes on top."""
+    c = collection(spark, sf_dir)
+    c.write_tables(deletes=vectors(spark, sf_dir).where("id % 7 = 0").select("id"))
+    return c.query(probe(spark, sf_dir), 10, ["label", "In", [1, 2, 3]])
 
 
 def filtered(name: str, expr: list, where: str) -> None:
@@ -158,11 +187,14 @@ def knn_include_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(rich(spark, sf_dir), probe(spark, sf_dir), 10, include=["source", "lang", "unknown"])
 
 
-@query("knn_json", f"SELECT e.vec_id AS id, CAST(e.label AS VARCHAR) AS label, e.lang, CAST(e.quality AS VARCHAR) AS quality FROM {RICH}, {QUERY0} ORDER BY {COS}, e.vec_id LIMIT 10")
+@query("knn_json", f"SELECT e.vec_id AS id, round({COS}, 9) AS distance, CAST(e.label AS VARCHAR) AS label, e.lang, CAST(e.quality AS VARCHAR) AS quality, '\"note\":' || to_json('say \"' || e.lang || '\"' || chr(10) || chr(92)) AS note FROM {RICH}, {QUERY0} ORDER BY {COS}, e.vec_id LIMIT 10")
 def knn_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The JSON records, read back for the comparison (engines print doubles differently)."""
-    out = knn.to_json(knn.top_k(rich(spark, sf_dir), probe(spark, sf_dir), 10, include=True))
-    return out.select("id", *[F.get_json_object("json", f"$.{c}").alias(c) for c in ("label", "lang", "quality")])
+    """The JSON records, read back for the comparison; ``note`` is cut out as it is written, escapes and all."""
+    note = F.concat(F.lit('say "'), F.col("lang"), F.lit('"\n\\'))
+    out = knn.to_json(knn.top_k(rich(spark, sf_dir).withColumn("note", note), probe(spark, sf_dir), 10, include=True))
+    distance = F.round(F.get_json_object("json", "$['$distance']").cast("double"), 9).alias("distance")
+    written = F.regexp_extract("json", r'"note":"(?:[^"\\]|\\.)*"', 0).alias("note")
+    return out.select("id", distance, *[F.get_json_object("json", f"$.{c}").alias(c) for c in ("label", "lang", "quality")], written)
 
 
 BATCH = "(SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id % 10 = 0) q"
@@ -195,28 +227,35 @@ def knn_int8_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("knn_ivf")
 def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells written by folder, of which a query reads six of sixteen."""
     docs = vectors(spark, sf_dir)
     centres = knn.fit_cells(docs, 16)
-    return knn.probe_top_k(knn.assign_cells(docs, centres), centres, probe(spark, sf_dir), 6)
+    celled = knn.write_cells(knn.assign_cells(docs, centres), f"{work_dir(spark)}/cells")
+    return knn.probe_top_k(celled, centres, probe(spark, sf_dir), 6)
+
+
+ASKED = "q AS (SELECT vec_id AS qid, embedding, label AS ql FROM embeddings WHERE vec_id % 20 = 0)"
+POOLS = (10, 20, 40, 80)
+SWEEP = f"""WITH {ASKED}, pairs AS (SELECT q.qid, e.vec_id AS id, {COS} AS d, {I8_COS} AS rough FROM embeddings e, q),
+placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rough, id) AS at, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rn FROM pairs),
+cut AS (SELECT p.pool, x.qid, x.id, row_number() OVER (PARTITION BY p.pool, x.qid ORDER BY x.d, x.id) AS rn FROM placed x JOIN (SELECT unnest([10, 20, 40, 80]) AS pool) p ON x.at <= p.pool)
+SELECT CAST(pool AS INTEGER) AS pool, round(avg(hit), 9) AS recall FROM (SELECT c.pool, c.qid, count(*) FILTER (t.id IS NOT NULL) / 10 AS hit FROM cut c LEFT JOIN placed t ON c.qid = t.qid AND c.id = t.id AND t.rn <= 10 WHERE c.rn <= 10 GROUP BY c.pool, c.qid) GROUP BY pool"""
+
+
+def asked_of(docs: DataFrame) -> DataFrame:
+    """The query set: every id divisible by 20."""
+    return docs.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("q"))
 
 
-@query("ef_sweep")
+@query("ef_sweep", SWEEP)
 def ef_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of the int8 candidate stage for several pool sizes, over ten queries."""
-    docs = vectors(spark, sf_dir).cache()
-    asked = docs.where("id < 10").select(F.col("id").alias("qid"), F.col("vector").alias("q"))
-    truth = knn.batch_top_k(docs, asked, 10)
-    out = []
-    for mult in (1, 2, 4, 8):
-        got = None
-        for r in asked.collect():
-            one = knn.int8_top_k(docs, r["q"], 10, rerank=mult).select(F.lit(r["qid"]).alias("qid"), "id")
-            got = one if got is None else got.union(one)
-        out.append(evaluate.recall_at_k(truth, got).select(F.lit(mult).alias("rerank"), "recall"))
-    sweep = out[0]
-    for o in out[1:]:
-        sweep = sweep.union(o)
-    return sweep
+    """Recall of the int8 candidate stage for several pool sizes."""
+    docs = vectors(spark, sf_dir)
+    asked = asked_of(docs)
+    truth = knn.batch_top_k(docs, asked, 10).select("qid", "id", F.lit(1).alias("hit"))
+    got = knn.int8_batch_top_k(docs, asked, POOLS, 10)
+    each = got.join(truth, ["qid", "id"], "left").groupBy("pool", "qid").agg((F.count("hit") / 10).alias("hit"))
+    return each.groupBy("pool").agg(F.round(F.avg("hit"), 9).alias("recall"))
 
 
 # The write log that the driver's vectors stand for: four batches of upserts, deletes of every seventh
@@ -240,26 +279,74 @@ def write_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 FOLD_SQL = "WITH " + LOG_SQL + " SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC, ord DESC) AS rn FROM log) WHERE rn = 1 AND op = 'upsert'"
 
 
+def logged(spark: SparkSession, sf_dir: str, upto: int = 6) -> Collection:
+    """The log as a collection, a batch for each seq."""
+    v, c = vectors(spark, sf_dir), Collection(spark, work_dir(spark), "log")
+    rows = write_log(spark, sf_dir).join(v.select("id", "vector"), "id").withColumn("attrs", attrs("label"))
+    rows = rows.select("seq", F.col("ord").cast("int").alias("ord"), "op", "id", *[F.when(F.col("op") == "upsert", F.col(x)).alias(x) for x in ("vector", "attrs")])
+    for seq in range(1, upto + 1):
+        c.append(rows.where(F.col("seq") == seq), seq - 1, "cosine_distance")
+    return c
+
+
+def labels_of(docs: DataFrame) -> DataFrame:
+    return docs.select("id", F.col("attributes.label.i").cast("int").alias("label"))
+
+
 @query("wal_replay", FOLD_SQL)
 def wal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold.fold(write_log(spark, sf_dir)).select("id", "label")
+    """JSON segments, one for each seq, read and folded; vectors travel along."""
+    v = vectors(spark, sf_dir)
+    rows = write_log(spark, sf_dir).join(v.select("id", "vector"), "id")
+    entry = F.when(F.col("op") == "delete", F.concat(F.lit("["), "id", F.lit(",null]"))).otherwise(F.concat(F.lit("["), "id", F.lit(","), F.to_json("vector"), F.lit(',{"label":'), "label", F.lit("}]")))
+    lines = rows.select("seq", F.struct("ord", entry.alias("e")).alias("x")).groupBy("seq").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    body = F.concat(F.lit('{"docs":['), F.array_join(F.transform("x", lambda x: x["e"]), ","), F.lit("]}"))
+    live = fold.fold(ingest.log_segment(lines.select("seq", body.alias("body"))))
+    return live.where(F.size("vector") > 0).select("id", F.element_at("attrs", "label")["i"].cast("int").alias("label"))
+
+
+@query("wal_append", FOLD_SQL)
+def wal_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches appended to a collection's log and read back."""
+    return labels_of(logged(spark, sf_dir).documents())
+
+
+@query("wal_list", "WITH " + LOG_SQL + " SELECT seq, count(*) AS entries FROM log WHERE seq > 3 GROUP BY seq")
+def wal_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batches after the third, as the store lists them."""
+    return logged(spark, sf_dir).store.log(2).groupBy("seq").agg(F.count("*").alias("entries")).orderBy("seq")
 
 
 @query("compaction_equivalence", FOLD_SQL)
 def compaction_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A snapshot after segment 3 with the later segments on top."""
-    log = write_log(spark, sf_dir)
-    return fold.replay(fold.fold(log.where("seq <= 3")), log, 3).select("id", "label")
+    """Compacted after the third batch with the later ones on top, and the same compacted again: what both give."""
+    rest = logged(spark, sf_dir).store
 
+    def grown() -> Collection:
+        c = logged(spark, sf_dir, 3)
+        c.compact()
+        for n in (3, 4, 5):
+            c.append(rest.log(n - 1).where(F.col("seq") == n + 1), n, "cosine_distance")
+        return c
 
-@query("snapshot_scan", "WITH " + LOG_SQL + " SELECT id, label FROM log WHERE seq <= 3")
-def snapshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold.fold(write_log(spark, sf_dir).where("seq <= 3")).select("id", "label")
+    again = grown()
+    again.compact()
+    return labels_of(grown().documents()).intersect(labels_of(again.documents()))
 
 
-@query("wal_list", "WITH " + LOG_SQL + " SELECT seq, count(*) AS entries FROM log WHERE seq > 3 GROUP BY seq")
-def wal_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return write_log(spark, sf_dir).where("seq > 3").groupBy("seq").agg(F.count("*").alias("entries")).orderBy("seq")
+@query("snapshot_write", "WITH " + LOG_SQL + f" SELECT l.id, l.label, list_dot_product({A}, {A}) AS norm2 FROM log l JOIN embeddings e ON l.id = e.vec_id WHERE seq <= 3")
+def snapshot_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot's own table, with the stored norms."""
+    c = logged(spark, sf_dir, 3)
+    c.compact()
+    return c.store.snapshot()[1].select("id", F.col("attributes.label.i").cast("int").alias("label"), "norm2")
+
+
+@query("snapshot_scan", "WITH " + LOG_SQL + " SELECT id, label FROM log WHERE seq <= 3")
+def snapshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = logged(spark, sf_dir, 3)
+    c.compact()
+    return labels_of(c.documents())
 
 
 @query("upsert_fold", "SELECT vec_id AS id, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE CAST(label AS VARCHAR) END AS label FROM embeddings")
@@ -284,32 +371,42 @@ def delete_by_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("write_batch", "SELECT vec_id AS id, CASE WHEN vec_id % 5 = 0 THEN label + 100 ELSE label END AS label FROM embeddings WHERE (label <> 3 OR vec_id % 5 = 0) AND vec_id % 10 <> 0")
 def write_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One batch: delete by filter on the state before it, then upserts, then deletes by id."""
-    docs = vectors(spark, sf_dir).select("id", "label")
-    left = docs.where(~compile_filter(["label", "Eq", 3], docs.schema))
+    c, docs = collection(spark, sf_dir), vectors(spark, sf_dir)
     new = docs.where("id % 5 = 0").withColumn("label", F.col("label") + 100)
-    return fold.delete_ids(fold.upsert(left, new), docs.where("id % 10 = 0").select("id"))
+    c.write_tables(new.select("id", "vector", attrs("label").alias("attrs")), docs.where("id % 10 = 0").select("id"), ["label", "Eq", 3])
+    return labels_of(c.documents())
 
 
 @query("ns_stats", "SELECT count(*) AS count, max(len(embedding)) AS dim FROM embeddings WHERE vec_id % 7 <> 0 OR vec_id % 5 = 0")
 def ns_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = wal_replay(spark, sf_dir).join(vectors(spark, sf_dir).select("id", "vector"), "id")
-    return live.agg(F.count("*").alias("count"), F.max(F.size("vector")).cast("long").alias("dim"))
+    out = logged(spark, sf_dir).stats()
+    return spark.createDataFrame([(out["count"], out["dim"])], "count long, dim long")
 
 
-@query("wal_append", FOLD_SQL)
-def wal_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of the log as JSON segments and back: the written form loses nothing."""
-    log = write_log(spark, sf_dir)
-    lines = log.select("seq", F.to_json(F.struct("seq", "ord", "op", "id", "label")).alias("value"))
-    back = lines.select(F.from_json("value", "seq long, ord long, op string, id long, label int").alias("r")).select("r.*")
-    return fold.fold(back).select("id", "label")
+#: FNV-1a in DuckDB: a fold over the id's digits in 128 bits, from the hash of the constant prefix.
+FNV_SQL = f"list_reduce(list_prepend({fnv1a(key_of('serve-bench') + bytes(1))}::UHUGEINT, list_transform(range(1, length(CAST(vec_id AS VARCHAR)) + 1), lambda i: ord(CAST(vec_id AS VARCHAR)[i])::UHUGEINT)), lambda h, b: (xor(h, b) * {PRIME}::UHUGEINT) % 18446744073709551616::UHUGEINT)"
 
 
-@query("shard_assign")
+@query("shard_assign", f"SELECT vec_id AS id, CAST({FNV_SQL} % 4 AS BIGINT) AS shard FROM embeddings")
 def shard_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).select("id", shard("serve-bench", F.col("id"), 4).alias("shard"))
 
 
+@query("shard_write", f"SELECT CAST({FNV_SQL.replace(str(fnv1a(key_of('serve-bench') + bytes(1))), str(fnv1a(key_of('vectors') + bytes(1))))} % 4 AS BIGINT) AS shard, count(*) AS rows FROM embeddings GROUP BY 1")
+def shard_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A write split by the hash of the id, upserts and deletes alike: the rows of each shard's folder."""
+    c = collection(spark, sf_dir, shards=4)
+    return c.store.snapshot()[1].groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count("*").alias("rows"))
+
+
+@query("shard_query", f"SELECT e.vec_id AS id, {COS} AS distance FROM embeddings e, {QUERY0} WHERE e.vec_id % 7 <> 0 ORDER BY distance, id LIMIT 10")
+def shard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sharded collection's scatter query, after deletes that were routed like the rows."""
+    c = collection(spark, sf_dir, shards=4)
+    c.write_tables(deletes=vectors(spark, sf_dir).where("id % 7 = 0").select("id"))
+    return c.query(probe(spark, sf_dir), 10)
+
+
 def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).withColumn("shard", shard("serve-bench", F.col("id"), 4))
 
@@ -334,32 +431,49 @@ def shard_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.agg(F.sum("count").alias("count"), F.max("dim").cast("long").alias("dim"))
 
 
-@query("shard_merge_overlap", "SELECT 1.0::DOUBLE AS recall")
+@query("shard_merge_overlap", f"""WITH {ASKED}, shards AS (SELECT vec_id, embedding, vec_id % 4 AS shard FROM embeddings),
+one AS (SELECT q.qid, e.vec_id AS id, row_number() OVER (PARTITION BY q.qid ORDER BY {COS}, e.vec_id) AS rn FROM embeddings e, q),
+each AS (SELECT q.qid, e.shard, e.vec_id AS id, {COS} AS d, row_number() OVER (PARTITION BY q.qid, e.shard ORDER BY {COS}, e.vec_id) AS rn FROM shards e, q),
+merged AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rn FROM each WHERE rn <= 3)
+SELECT round(avg(x), 9) AS recall FROM (SELECT o.qid, count(m.id) / count(*) AS x FROM one o LEFT JOIN merged m ON o.qid = m.qid AND o.id = m.id AND m.rn <= 10 WHERE o.rn <= 10 GROUP BY o.qid)""")
 def shard_merge_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = knn.top_k(vectors(spark, sf_dir), probe(spark, sf_dir), 10).select(F.lit(0).alias("qid"), "id")
-    return evaluate.recall_at_k(one, shard_knn(spark, sf_dir).select(F.lit(0).alias("qid"), "id"))
-
-
-# Evaluation: int8 rankings of fifty queries against the exact ones; relevance is the query's label.
-RANK_CTE = f"""q AS (SELECT vec_id AS qid, embedding, label AS ql FROM embeddings WHERE vec_id < 50),
-exact AS (SELECT * FROM (SELECT q.qid, e.vec_id AS id, row_number() OVER (PARTITION BY q.qid ORDER BY {COS}, e.vec_id) AS rn FROM embeddings e, q) WHERE rn <= 10),
-got AS (SELECT * FROM (SELECT q.qid, e.vec_id AS id, row_number() OVER (PARTITION BY q.qid ORDER BY {L2}, e.vec_id) AS rn FROM embeddings e, q WHERE e.vec_id % 20 <> 1) WHERE rn <= 10),
-rel AS (SELECT q.qid, e.vec_id AS id FROM embeddings e JOIN q ON e.label = q.ql AND e.vec_id <> q.qid),
-judged AS (SELECT g.qid, g.rn, CASE WHEN r.id IS NULL THEN 0 ELSE 1 END AS rel FROM got g LEFT JOIN rel r ON g.qid = r.qid AND g.id = r.id)"""
-
-
-def rankings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The exact ranking, one by another metric over part of the corpus, and the relevant pairs."""
+    """How much of the exact ranking is left when each of four shards gives only its three nearest."""
     docs = vectors(spark, sf_dir)
-    asked = docs.where("id < 50").select(F.col("id").alias("qid"), F.col("vector").alias("q"))
+    asked = asked_of(docs)
+    each = None
+    for s in range(4):
+        part = knn.batch_top_k(docs.where(F.col("id") % 4 == s), asked, 3)
+        each = part if each is None else each.union(part)
+    best = Window.partitionBy("qid").orderBy("distance", "id")
+    merged = each.withColumn("rn", F.row_number().over(best)).where("rn <= 10")
+    return evaluate.recall_at_k(knn.batch_top_k(docs, asked, 10), merged).select(F.round("recall", 9).alias("recall"))
+
+
+# Evaluation: int8 rankings (a pool of ten, no more) against the exact ones; relevance is the query's label. Queries: every
+# id divisible by 20, against all rows.
+RANK_CTE = f"""{ASKED},
+pairs AS (SELECT q.qid, e.vec_id AS id, {COS} AS d, {I8_COS} AS rough FROM embeddings e, q),
+exact AS (SELECT * FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rn FROM pairs) WHERE rn <= 10),
+pool AS (SELECT * FROM (SELECT qid, id, d, row_number() OVER (PARTITION BY qid ORDER BY rough, id) AS place FROM pairs) WHERE place <= 10),
+got AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rn FROM pool),
+sizes AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
+judged AS (SELECT g.qid, g.rn, CASE WHEN e.label = q.ql AND g.id <> g.qid THEN 1 ELSE 0 END AS rel FROM got g JOIN q ON g.qid = q.qid JOIN embeddings e ON g.id = e.vec_id)"""
+
+
+def rankings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The exact ranking, the one by codes, which of its rows are relevant, and how many rows are for each query."""
+    docs = vectors(spark, sf_dir)
+    asked = asked_of(docs)
     exact_ = knn.batch_top_k(docs, asked, 10)
-    got = knn.batch_top_k(docs.where("id % 20 <> 1"), asked, 10, "euclidean_squared")
-    ask = docs.where("id < 50").select(F.col("id").alias("qid"), "label")
-    relevant = docs.select("id", "label").join(F.broadcast(ask), "label").where("id <> qid").select("qid", "id")
-    return exact_, got, relevant
+    got = knn.int8_batch_top_k(docs, asked, [10], 10)
+    ask = docs.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("label").alias("ql"))
+    met = got.join(docs.select("id", "label"), "id").join(ask, "qid")
+    relevant = met.where("label = ql and id <> qid").select("qid", "id")
+    sizes = ask.join(docs.groupBy(F.col("label").alias("ql")).count(), "ql").select("qid", (F.col("count") - 1).alias("n"))
+    return exact_, got, relevant, sizes
 
 
-def metric(name: str, take: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], sql: str) -> None:
+def metric(name: str, take: Callable[[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame], sql: str) -> None:
     """A metric, rounded to nine places: the engines add up in different orders."""
 
     @query(name, f"WITH {RANK_CTE} SELECT round({sql}, 9) AS value")
@@ -368,11 +482,11 @@ def metric(name: str, take: Callable[[DataFrame, DataFrame, DataFrame], DataFram
         return out.select(F.round(F.col(out.columns[0]), 9).alias("value"))
 
 
-metric("recall_at_k", lambda e, g, r: evaluate.recall_at_k(e, g), "(SELECT avg(x) FROM (SELECT count(g.id) / count(*) AS x FROM exact e LEFT JOIN got g ON e.qid = g.qid AND e.id = g.id GROUP BY e.qid))")
-metric("top1_agreement", lambda e, g, r: evaluate.top1_agreement(e, g), "(SELECT avg(CASE WHEN e.id = g.id THEN 1.0 ELSE 0.0 END) FROM exact e JOIN got g ON e.qid = g.qid AND e.rn = 1 AND g.rn = 1)")
-metric("hit_at_k", lambda e, g, r: evaluate.hit_at_k(g, r), "(SELECT avg(x) FROM (SELECT max(rel) AS x FROM judged GROUP BY qid))")
-metric("mrr_at_k", lambda e, g, r: evaluate.mrr_at_k(g, r), "(SELECT avg(x) FROM (SELECT coalesce(1.0 / min(CASE WHEN rel = 1 THEN rn END), 0) AS x FROM judged GROUP BY qid))")
-metric("ndcg_at_k", lambda e, g, r: evaluate.ndcg_at_k(g, r, 10), "(SELECT avg(coalesce(g.x / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= n.n), 0)) FROM (SELECT qid, sum(CASE WHEN rel = 1 THEN 1 / log2(rn + 1) ELSE 0 END) AS x FROM judged GROUP BY qid) g LEFT JOIN (SELECT qid, count(*) AS n FROM rel GROUP BY qid) n ON g.qid = n.qid)")
+metric("recall_at_k", lambda e, g, r, n: evaluate.recall_at_k(e, g), "(SELECT avg(x) FROM (SELECT count(g.id) / count(*) AS x FROM exact e LEFT JOIN got g ON e.qid = g.qid AND e.id = g.id GROUP BY e.qid))")
+metric("top1_agreement", lambda e, g, r, n: evaluate.top1_agreement(e, g), "(SELECT avg(CASE WHEN e.id = g.id THEN 1.0 ELSE 0.0 END) FROM exact e JOIN got g ON e.qid = g.qid AND e.rn = 1 AND g.rn = 1)")
+metric("hit_at_k", lambda e, g, r, n: evaluate.hit_at_k(g, r), "(SELECT avg(x) FROM (SELECT max(rel) AS x FROM judged GROUP BY qid))")
+metric("mrr_at_k", lambda e, g, r, n: evaluate.mrr_at_k(g, r), "(SELECT avg(x) FROM (SELECT coalesce(1.0 / min(CASE WHEN rel = 1 THEN rn END), 0) AS x FROM judged GROUP BY qid))")
+metric("ndcg_at_k", lambda e, g, r, n: evaluate.ndcg_at_k(g, r, 10, n), "(SELECT avg(coalesce(g.x / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= n.n - 1), 0)) FROM (SELECT qid, sum(CASE WHEN rel = 1 THEN 1 / log2(rn + 1) ELSE 0 END) AS x FROM judged GROUP BY qid) g JOIN q ON g.qid = q.qid JOIN sizes n ON q.ql = n.label)")
 
 
 @query("latency_percentiles", "SELECT count(*) AS n, round(avg(value), 6) AS mean, " + ", ".join(f"list_sort(list(value))[least(count(*), CAST(floor({p} * count(*)) AS BIGINT) + 1)] AS p{round(p * 100)}" for p in (0.5, 0.95, 0.99)) + " FROM events")
@@ -410,6 +524,17 @@ def qa_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.question_pairs(table(spark, sf_dir, "conversations"))
 
 
+@query("qa_nested", "SELECT q.text AS question, min(a.text) AS context FROM conversations q JOIN conversations a ON q.conv_id = a.conv_id AND a.turn = 0 WHERE q.role = 'user' AND length(a.text) > 0 GROUP BY q.conv_id, q.turn, q.text")
+def qa_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as nested articles (first turn as context, user turns as questions), read back by gold context."""
+    turns = table(spark, sf_dir, "conversations")
+    first = turns.where("turn = 0 and length(text) > 0").select("conv_id", F.col("text").alias("context"))
+    asked = turns.where("role = 'user'").groupBy("conv_id").agg(F.collect_list(F.struct(F.col("text").alias("question"))).alias("qas"))
+    data = first.join(asked, "conv_id").select(F.struct(F.col("conv_id").cast("string").alias("title"), F.array(F.struct("context", "qas")).alias("paragraphs")).alias("a"))
+    contexts, questions = ingest.questions_of(data.select(F.to_json(F.struct(F.array("a").alias("data"))).alias("value")))
+    return questions.join(contexts, questions["gold"] == contexts["ctx"]).select("question", F.col("text").alias("context"))
+
+
 @query("gen_clustered")
 def gen_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.clustered(spark, 2000, 32)

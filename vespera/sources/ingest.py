@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,11 +77,58 @@ def validate(rows: DataFrame, dim: int | None, metric: str) -> int:
     return facts["hi"]
 
 
-def text_cards(docs: DataFrame, text_col: str = "text", limit: int = 2200, half: int = 1100) -> DataFrame:
-    """Texts cut to a card: long ones keep their first and last part."""
+#: Names, endings and folders of files that must not be read.
+SENSITIVE_NAMES = (".env", ".dev.vars", ".git-credentials", ".netrc", ".npmrc", ".pypirc", "credentials.json", "credentials", "id_dsa", "id_ecdsa", "id_ecdsa_sk", "id_ed25519", "id_ed25519_sk", "id_rsa", "secrets.json", "secrets.yaml", "secrets.yml", "service-account.json")
+SENSITIVE_ENDS = (".env", ".pem", ".key", ".p12", ".pfx", ".jks")
+SENSITIVE_FOLDERS = (".ssh/", ".gnupg/", ".aws/")
+MAX_CARD_BYTES = 131_072
+
+
+def is_sensitive(path: Column) -> Column:
+    """Whether a path's name, ending or a folder of it says that the file may hold secrets."""
+    low = F.lower(path)
+    name = F.substring_index(low, "/", -1)
+    tests = [name.isin(*SENSITIVE_NAMES), name.rlike(r"^\.env[._-]"), F.concat(F.lit("/"), low).contains("/.git/")]
+    tests += [low.endswith(e) for e in SENSITIVE_ENDS] + [low.contains(f) for f in SENSITIVE_FOLDERS]
+    return reduce(lambda a, b: a | b, tests)
+
+
+def text_cards(docs: DataFrame, text_col: str = "text", limit: int = 2200, half: int = 1100, path_col: str | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Texts cut to a card: long ones keep their first and last part.
+
+    Empty texts, binary ones (with a NUL), those of more than ``max_bytes`` bytes and those under a sensitive
+    path have no card.
+    """
     t = F.col(text_col)
     card = F.when(F.length(t) > limit, F.concat(F.substring(t, 1, half), F.lit("\n...\n"), F.substring(t, -half, half))).otherwise(t)
-    return docs.where(t.isNotNull() & (F.length(t) > 0)).withColumn("card", card)
+    fit = t.isNotNull() & (F.length(t) > 0) & ~t.contains("\0")
+    if max_bytes is not None:
+        fit = fit & (F.octet_length(t) <= max_bytes)
+    if path_col is not None:
+        fit = fit & ~F.coalesce(is_sensitive(F.col(path_col)), F.lit(False))
+    return docs.where(fit).withColumn("card", card)
+
+
+def file_cards(spark: SparkSession, path: str, max_bytes: int = MAX_CARD_BYTES) -> DataFrame:
+    """(path, card) of the text files below a folder; large, binary, empty and sensitive ones are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length").between(1, max_bytes))
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    return text_cards(files.select("path", text.alias("text")), path_col="path").select("path", "card")
+
+
+ARTICLES = "struct<data: array<struct<title: string, paragraphs: array<struct<context: string, qas: array<struct<question: string>>>>>>>"
+
+
+def questions_of(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nested articles (column value: JSON of data, paragraphs, qas) as contexts (ctx, text) and questions (question, gold).
+
+    Equal contexts are one; ``gold`` is the number of the question's context. Numbers follow the contexts' hashes.
+    """
+    data = lines.select(F.explode(F.from_json("value", ARTICLES)["data"]).alias("a")).select(F.explode("a.paragraphs").alias("p"))
+    pairs = data.select(F.col("p.context").alias("text"), "p.qas").where("text is not null").withColumn("ctx", F.xxhash64("text"))
+    contexts = pairs.select("ctx", "text").distinct()
+    questions = pairs.select(F.explode("qas.question").alias("question"), F.col("ctx").alias("gold")).where("question is not null")
+    return contexts, questions
 
 
 def question_pairs(turns: DataFrame) -> DataFrame:

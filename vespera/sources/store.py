@@ -1,25 +1,23 @@
-"""A collection's files: a log of Parquet segments, snapshots, and one small state file.
+"""A collection's tables: appended Parquet batches of the write log, and snapshots of all documents.
 
-    <root>/<name>/log/seq=<n>/       one write batch
-    <root>/<name>/snapshot/<seq>/    all live documents as of seq
-    <root>/<name>/state/<n>.json     dimension, metric and snapshot; the highest number holds
+    <root>/<name>/log/batch=<n>/       one write
+    <root>/<name>/snapshot/upto=<n>/   the last entry of every id as of batch n, with typed attributes
 
-A state file is written under a new number, so a reader sees the old state or the new one. Log
-segments are removed only after the state that names their snapshot is in place.
+Nothing else is stored: dimension, metric and attribute names are read from the rows. A batch or snapshot is there once
+Spark has committed it (``_SUCCESS``); the newest committed snapshot and the batches after it are the collection. One
+writer at a time is assumed; a batch number that is taken is an error.
 """
 
 from __future__ import annotations
 
-import json
+import atexit
 import re
-from dataclasses import asdict, dataclass
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vespera.operators.fold import LOG_SCHEMA, replay
-
-#: Names that a collection may not have.
-FORBIDDEN = (".", "..", "wal", "snapshot", "snapshot.bin", "snapshot.json")
+from vespera.operators.fold import LOG_SCHEMA
 
 
 class BadName(ValueError):
@@ -31,104 +29,92 @@ class Unavailable(RuntimeError):
 
 
 def check_name(name: str) -> str:
-    if not re.fullmatch(r"[A-Za-z0-9._-]{1,128}", name) or name in FORBIDDEN:
+    """A name is one path segment of plain characters."""
+    if not re.fullmatch(r"[A-Za-z0-9._-]{1,128}", name) or not name.strip("."):
         raise BadName(f"not a collection name: {name!r}")
     return name
 
 
-@dataclass
-class State:
-    dim: int = 0
-    metric: str = "cosine_distance"
-    snapshot: int = -1
-    attrs: tuple[str, ...] = ()
-    latched: bool = False
+def work_dir(spark: SparkSession) -> str:
+    """A fresh folder that the driver and all executors share, below ``spark.checkpoint.dir``; removed at exit."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{named.rstrip('/')}/work-{uuid.uuid4().hex}" if named else "file://" + tempfile.mkdtemp(prefix="vespera-work-")
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may be gone by then
+        pass
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str, name: str):
         self.spark, self.path = spark, f"{root.rstrip('/')}/{check_name(name)}"
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _list(self, sub: str) -> list[str]:
+    def _numbers(self, sub: str) -> list[int]:
         at = self._path(f"{self.path}/{sub}")
-        return [s.getPath().getName() for s in self.fs.listStatus(at)] if self.fs.exists(at) else []
+        names = [s.getPath().getName() for s in self.fs.listStatus(at)] if self.fs.exists(at) else []
+        return sorted(int(n.partition("=")[2]) for n in names if re.fullmatch(r"[a-z]+=[0-9]+", n))
+
+    def _whole(self, folder: str) -> bool:
+        return self.fs.exists(self._path(f"{self.path}/{folder}/_SUCCESS"))
+
+    def batches(self) -> list[int]:
+        return self._numbers("log")
+
+    def snapshots(self) -> list[int]:
+        return [n for n in self._numbers("snapshot") if self._whole(f"snapshot/upto={n}")]
 
     def exists(self) -> bool:
-        return bool(self._list("state"))
-
-    def state(self) -> State:
-        numbers = sorted(int(n[:-5]) for n in self._list("state") if re.fullmatch(r"[0-9]+\.json", n))
-        if not numbers:
-            return State()
-        raw = self.spark.read.text(f"{self.path}/state/{numbers[-1]}.json", wholetext=True).first()
-        try:
-            d = json.loads(raw["value"])
-            return State(**d | {"attrs": tuple(d["attrs"])})
-        except (TypeError, ValueError, KeyError) as e:
-            raise Unavailable(f"{self.path}: its state cannot be read") from e
-
-    def put_state(self, state: State) -> None:
-        numbers = [int(n[:-5]) for n in self._list("state") if re.fullmatch(r"[0-9]+\.json", n)]
-        name = f"{max(numbers, default=0) + 1}.json"
-        hidden = self._path(f"{self.path}/state/.{name}.tmp")
-        out = self.fs.create(hidden, True)
-        out.write(bytearray(json.dumps(asdict(state)).encode()))
-        out.close()
-        if not self.fs.rename(hidden, self._path(f"{self.path}/state/{name}")):
-            raise Unavailable(f"{self.path}: another writer took state {name}")
-
-    def segments(self) -> list[int]:
-        return sorted(int(n[4:]) for n in self._list("log") if re.fullmatch(r"seq=[0-9]+", n))
-
-    def append(self, entries: DataFrame, seq: int) -> None:
-        entries.drop("seq").write.mode("error").parquet(f"{self.path}/log/seq={seq}")
-
-    def log(self, after: int = -1) -> DataFrame:
-        """Entries after a sequence number; older segments are pruned by their folder."""
-        wanted = [n for n in self.segments() if n > after]
-        if wanted and wanted != list(range(after + 1, wanted[-1] + 1)):
-            raise Unavailable(f"{self.path}: a log segment is missing")
+        return bool(self.batches() or self._numbers("snapshot"))
+
+    def next_batch(self) -> int:
+        return max([-1, *self.batches(), *self.snapshots()]) + 1
+
+    def append(self, entries: DataFrame, number: int, partition_by: list[str], replace: bool = False) -> None:
+        entries.write.mode("overwrite" if replace else "error").partitionBy(*partition_by).parquet(f"{self.path}/log/batch={number}")
+
+    def log(self, after: int = -1) -> DataFrame | None:
+        """Entries of the batches after a number, or None; older batches are not read."""
+        wanted = [n for n in self.batches() if n > after]
+        if wanted != list(range(after + 1, after + 1 + len(wanted))):
+            raise Unavailable(f"{self.path}: a batch of the log is missing")
         for n in wanted:
-            if not self.fs.exists(self._path(f"{self.path}/log/seq={n}/_SUCCESS")):
-                raise Unavailable(f"{self.path}: log segment {n} is not complete")
+            if not self._whole(f"log/batch={n}"):
+                raise Unavailable(f"{self.path}: batch {n} of the log is not complete")
         if not wanted:
-            return self.spark.createDataFrame([], LOG_SCHEMA)
-        read = self.spark.read.schema(LOG_SCHEMA).option("basePath", f"{self.path}/log")
-        return read.parquet(*[f"{self.path}/log/seq={n}" for n in wanted])
-
-    def documents(self) -> DataFrame:
-        """(id, vector, attrs) of the live documents: the snapshot with the later log on top."""
-        state = self.state()
-        snap = None
-        if state.snapshot >= 0:
-            at = f"{self.path}/snapshot/{state.snapshot}"
-            if not self.fs.exists(self._path(f"{at}/_SUCCESS")):
-                raise Unavailable(f"{self.path}: snapshot {state.snapshot} is not complete")
-            snap = self.spark.read.parquet(at)
-        return replay(snap, self.log(state.snapshot), state.snapshot)
-
-    def compact(self) -> int:
-        """Write a snapshot of everything, name it in the state, then remove what it covers."""
-        state, seqs = self.state(), self.segments()
-        if not seqs or seqs[-1] <= state.snapshot:
-            return state.snapshot
-        old, state.snapshot = state.snapshot, seqs[-1]
-        self.documents().write.mode("overwrite").parquet(f"{self.path}/snapshot/{seqs[-1]}")
-        self.put_state(state)
-        for n in seqs:
-            self.fs.delete(self._path(f"{self.path}/log/seq={n}"), True)
-        if old >= 0:
-            self.fs.delete(self._path(f"{self.path}/snapshot/{old}"), True)
-        return state.snapshot
+            return None
+        read = self.spark.read.schema(f"{LOG_SCHEMA}, metric string")
+        parts = [read.parquet(f"{self.path}/log/batch={n}") for n in wanted]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p, allowMissingColumns=True)
+        return out
+
+    def snapshot(self) -> tuple[int, DataFrame | None]:
+        """The number of the newest whole snapshot, and its rows; (-1, None) without any."""
+        there = self.snapshots()
+        if not there:
+            return -1, None
+        return there[-1], self.spark.read.parquet(f"{self.path}/snapshot/upto={there[-1]}")
+
+    def write_snapshot(self, rows: DataFrame, number: int, partition_by: list[str]) -> None:
+        """Write a snapshot; once it is there, remove what it covers."""
+        rows.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.path}/snapshot/upto={number}")
+        for n in self.batches():
+            if n <= number:
+                self.fs.delete(self._path(f"{self.path}/log/batch={n}"), True)
+        for n in self._numbers("snapshot"):
+            if n < number:
+                self.fs.delete(self._path(f"{self.path}/snapshot/upto={n}"), True)
 
     def drop(self) -> None:
         self.fs.delete(self._path(self.path), True)
-
-
-def next_seq(store: Store) -> int:
-    return max([store.state().snapshot, *store.segments()]) + 1
-
-

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vespera.collection import Collection
-from vespera.operators.fold import LOG_SCHEMA, fold
+from vespera.functions.vectors import METRICS
+from vespera.operators.fold import LOG_SCHEMA, fold, last_entries
+from vespera.sources.ingest import BatchError, validate
 
 
 def stream_log(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -15,20 +16,23 @@ def stream_log(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
     return spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def apply_to(collection: Collection, entries: DataFrame, checkpoint: str, metric: str = "cosine_distance") -> StreamingQuery:
-    """Fold each micro-batch to its last entry per id and append it as one segment.
+def apply_to(collection: Collection, entries: DataFrame, checkpoint: str, metric: str = METRICS[0]) -> StreamingQuery:
+    """Fold each micro-batch to its last entry per id and append it in one commit, under the micro-batch's number.
 
-    A batch that is repeated after a failure appends the same last entries again, which changes nothing.
+    Entries keep their source's seq and ord, and the collection folds by those: segments may arrive in any order. A micro-batch
+    that is repeated after a failure replaces its own commit, or is passed over once a snapshot covers it. The
+    stream is the collection's only writer.
     """
 
-    def one(batch: DataFrame, _: int) -> None:
-        last = batch.groupBy("id").agg(F.max_by(F.struct("op", "vector", "attrs"), F.struct("seq", "ord")).alias("e")).select("id", "e.*").persist()
-        live = last.where("op = 'upsert'").select("id", "vector", "attrs")
-        if live.take(1):
-            collection.write_table(live, metric)
-        gone = last.where("op = 'delete'").select("id")
-        if gone.take(1):
-            collection.delete_table(gone)
+    def one(batch: DataFrame, number: int) -> None:
+        if number <= collection.store.snapshot()[0]:
+            return
+        last = last_entries(batch).persist()
+        facts = collection.facts()
+        if facts.metric not in (None, metric):
+            raise BatchError(f"the collection's metric is {facts.metric}")
+        validate(last.where("op = 'upsert'"), facts.dim or None, metric)
+        collection.append(last, number, metric, replace=True)
         last.unpersist()
 
     return entries.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
