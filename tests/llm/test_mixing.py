@@ -66,5 +66,13 @@ def test_interleave_keeps_rows_and_columns(spark):
     assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
     assert interleave(docs.limit(0)).count() == 0 and mix(docs.limit(0)).count() == 0
     many = spark.createDataFrame([(i, f"s{i}", "x") for i in range(9)], "doc_id long, source string, text string")
-    got = mix(many, period=4).collect()
-    assert sorted(r.position for r in got) == list(range(9)) and {r.weight for r in got} <= {1 / 32, 2 / 32, 3 / 32, 4 / 32}
+    with pytest.raises(ValueError, match="too short"):
+        mix(many, period=17)
+    got = mix(many, period=18).collect()
+    assert sorted(r.position for r in got) == list(range(9)) and {r.weight for r in got} == {2 / 18}
+
+
+def test_rows_without_id_are_placed_by_their_texts(spark):
+    docs = spark.createDataFrame([(None, "a", f"text {i}") for i in range(500)], "doc_id long, source string, text string")
+    got = mix(docs, block_chars=500, range_chars=200).collect()
+    assert sorted(r.position for r in got) == list(range(500)) and len({r.block for r in got}) > 5

@@ -8,8 +8,8 @@ Schedule. With weight w block k (from 1) is released at slot floor((k - 1) / w)
 slot ceil(k / w). Each slot takes the released block that is due first (ties: the lower
 source). Weights are whole multiples of 1 / ``period`` that sum to 1, so releases and deadlines
 repeat after ``period`` slots and the schedule of one period is all that has to be worked out: it is a
-fold over ``period`` slots, whatever the size of the corpus (with more sources than half of them the period is doubled
-until it is long enough). Every deadline is
+fold over ``period`` slots and sources, whatever the size of the corpus. ``period`` must be at least twice the number of
+sources; with more of them give a longer one, or group them first (as hosts by domain). Every deadline is
 met, and no source ever deviates by a block or more from its share while no source has run out. When a source has run out
 its slots stay unused, which leaves the others' proportions as they are. Every
 document is mixed exactly once; none is dropped or repeated.
@@ -23,9 +23,10 @@ Weights. Given ones are rounded to multiples of 1 / period (largest remainders,
 Without any, a source weighs as its characters to the power ``temperature``. Sources that ``weights`` leaves
 out count as the lightest given one.
 
-Defined results: null text counts as empty; a null source is a source of its own, as is the empty one; null ids
-come first in their source; repeated rows are mixed each, ties in any order; an empty table
-gives an empty result.
+Defined results: null text counts as empty; a null source is a source of its own, as is the empty one; rows with null ids
+are placed by their texts; repeated rows are mixed each, ties in any order; very long texts fill blocks of their own; an
+empty table gives an empty result; extra columns, whatever their names, are passed through by :func:`interleave`
+and not read otherwise.
 """
 
 from __future__ import annotations
@@ -100,12 +101,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: i
     ``position`` counts from 0 over all documents in mix order.
     """
     size = F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long") + 1
-    digest = F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit(""))
+    none = F.concat(F.lit("null "), F.coalesce(F.col(text_col), F.lit("")))  # null ids go by their texts
+    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), none).cast("binary"))
     rows = keep(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), digest.alias("digest")), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("size"))
-    sources = sizes.count()
-    while period < 2 * sources:
-        period *= 2
+    if period < 2 * sizes.count():
+        raise ValueError(f"a period of {period} slots is too short: it takes two for each source at least")
     share = keep(shares(sizes, weights, temperature, period), "mix-shares")
     turns = keep(schedule(share, period), "mix-turns")
 

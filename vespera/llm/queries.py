@@ -32,7 +32,7 @@ def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, length(coalesce(text, '')) + 1 AS size, coalesce(md5(CAST(doc_id AS VARCHAR)), '') AS digest FROM documents
+  SELECT doc_id, source, length(coalesce(text, '')) + 1 AS size, md5(coalesce(CAST(doc_id AS VARCHAR), 'null ' || coalesce(text, ''))) AS digest FROM documents
 ), sizes AS (
   SELECT source, CAST(sum(size) AS DOUBLE) AS size FROM d GROUP BY source
 ), w AS (
