@@ -7,6 +7,9 @@ runs forward-backward over all lines of the whole text; the marginals of "good"
 lines' lengths as weights, and a logistic curve fitted on the training documents turns the average
 into the probability of label 1.
 
+The training labels are those of documents, so a labelled chain never moves between good and bad; the chain learns how much
+neighbouring lines agree, and its marginals smooth lines over their neighbours.
+
 Training reads a bounded sample: at most ``max_docs`` labelled documents (those whose id hashes
 lowest), cut into chains of at most ``max_chain`` lines, ``max_lines`` lines in all. Only their
 line features reach the driver. Scoring covers every row and whole texts, needs no shuffle
@@ -17,7 +20,8 @@ crc32(id as text) mod 5 is 0 are never trained on.
 
 Defined results: null and empty texts are one empty line and get that line's score; repeated
 rows get equal scores; without any usable label (or an empty table) every weight is zero and the
-score is 0.5; a null id counts as not held out.
+score is 0.5; a null id counts as not held out; very long texts are read whole; an empty table gives an empty
+result; extra columns, whatever their names, are passed through by :func:`keep_good` and not read otherwise.
 """
 
 from __future__ import annotations
@@ -221,11 +225,11 @@ def fit(x: np.ndarray, size: np.ndarray, n: np.ndarray, label: np.ndarray, round
 def _features(batches: Iterator[pa.RecordBatch], max_chain: int) -> Iterator[pa.RecordBatch]:
     """Training rows: one for each chain of at most max_chain lines."""
     for batch in batches:
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for label, text, h in zip(*(c.to_pylist() for c in batch.columns)):
             x, size, n = line_features([text])
             rows = range(0, int(n[0]), max_chain)
             cut = [(x[i : i + max_chain], size[i : i + max_chain]) for i in rows]
-            yield pa.record_batch([pa.array([label] * len(cut), pa.int32()), pa.array([a.astype(np.float32).tobytes() for a, _ in cut], pa.binary()), pa.array([b.astype(np.float32).tobytes() for _, b in cut], pa.binary())], ["label", "x", "size"])
+            yield pa.record_batch([pa.array([h] * len(cut), pa.int64()), pa.array([label] * len(cut), pa.int32()), pa.array([a.astype(np.float32).tobytes() for a, _ in cut], pa.binary()), pa.array([b.astype(np.float32).tobytes() for _, b in cut], pa.binary())], ["h", "label", "x", "size"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 4000, max_chain: int = 200, max_lines: int = 100_000) -> Chain:
@@ -238,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(fold != 0)
     chosen = marked.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(lambda it: _features(it, max_chain), "label int, x binary, size binary").limit(max_lines)
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("label", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(lambda it: _features(it, max_chain), "h long, label int, x binary, size binary").orderBy("h", "x").limit(max_lines)
     xs, sizes, ns, ys, total = [], [], [], [], 0
     for r in rows.toLocalIterator():
         size = np.frombuffer(r["size"], np.float32)
@@ -286,7 +290,8 @@ def scored(docs: DataFrame, chain: Chain, text_col: str = "text", name: str = "s
 def assess(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     chain = train(docs, labels, **options)
-    out = scored(docs.select("doc_id", "text"), chain).drop("text")
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    out = scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), chain).drop("text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
