@@ -64,3 +64,9 @@ def test_damage_is_reported(damage):
         bad = deflate.compress(text) + deflate.flush()
     with pytest.raises(warc.WarcError):
         list(warc.read_records(io.BytesIO(bad)))
+
+
+def test_paths_are_opened_by_sparks_names(tmp_path):
+    assert warc._open(f"file://{tmp_path}")[1] == str(tmp_path)
+    fs, path = warc._open("s3a://bucket/some/key?region=eu-west-1")
+    assert (fs.type_name, path) == ("s3", "bucket/some/key")

@@ -6,12 +6,16 @@ grouped, and a hot payload is pre-aggregated. Each task then streams its rows in
 about ``roll_bytes`` in the shared folder, under names of its own attempt. A manifest table,
 committed by Spark, lists the archives of the attempts that won; others are never read.
 
-Reading. One task takes one archive of the manifest and walks it from start to end in small
+Reading. A task takes whole archives of the manifest and walks each from start to end in small
 reads: zlib inflates one member at a time, the header block is parsed, the content length
 frames the block, and SHA-1 digests of block and payload are verified. A reader holds one
 record and one read buffer.
 
-Defined results: null html is the empty payload; rows that share the largest id of their payload
+Paths. Executors open archives in local or mounted folders (file), hdfs, S3 (s3, s3a, s3n), Google (gs, gcs) and Azure
+(abfs, abfss) stores, by the names that Spark gives them.
+
+Defined results: null html is the empty payload; very long payloads are streamed through zlib, one record at a time;
+other columns than id, url and html are not read, whatever their names; rows that share the largest id of their payload
 are responses all of them; a null id is written as an absent one and sorts before all others (if
 every copy has a null id, all are responses); an empty table gives no archive and an empty result. A damaged record raises
 :class:`WarcError` that names the archive and the offset.
@@ -160,8 +164,13 @@ def read_records(source: BinaryIO) -> Iterator[tuple[dict[str, str], bytes, byte
         yield headers, head + gap, payload
 
 
+#: Schemes of Hadoop's file systems and those under which Arrow opens the same stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "abfss": "abfs"}
+
+
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
+    scheme, mark, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + mark + rest)
 
 
 def _write_archives(batches: Iterator[pa.RecordBatch], folder: str, roll_bytes: int, level: int) -> Iterator[pa.RecordBatch]:
@@ -243,7 +252,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """All records of the archives that a manifest (column path) lists, an archive to a task."""
+    """All records of the archives that a manifest (column path) lists; they are dealt over as many tasks."""
     paths = manifest.select("path")
     tasks = max(1, min(paths.count(), 20_000))
-    return paths.repartition(tasks, "path").mapInArrow(lambda it: _read_archives(it, payloads), SCHEMA)
+    return paths.repartition(tasks).mapInArrow(lambda it: _read_archives(it, payloads), SCHEMA)
