@@ -1,6 +1,7 @@
 """The k-means tree search against brute force: recall, exact scores, ties, skew, defined cases."""
 
 import numpy as np
+import pytest
 
 from vespera.llm.kmeans_tree import Tree, fit_tree, nearest
 
@@ -25,12 +26,13 @@ def by_query(df):
     return out
 
 
-def test_recall_on_the_test_vectors(spark):
+@pytest.mark.parametrize("group_rows", [300, 15])
+def test_recall_on_the_test_vectors(spark, group_rows):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
     rows = [(r.vec_id, r.embedding) for r in table.collect()]
     asked = [r for r in rows if r[0] % 100 == 0]
     want = brute(rows, asked, 10)
-    got = by_query(nearest(table, table.where("vec_id % 100 = 0"), sample_rows=700, group_rows=300))
+    got = by_query(nearest(table, table.where("vec_id % 100 = 0"), sample_rows=700, group_rows=group_rows))
     assert set(got) == set(want) and all(len(v) == 10 for v in got.values())
     hit = np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want])
     assert hit >= 0.9
@@ -59,6 +61,18 @@ def test_every_leaf_is_reached_best_bin_first():
     x = np.random.default_rng(1).normal(size=(500, 5))
     tree: Tree = fit_tree(x)
     assert sorted(tree.walk(x[0], 10**6)) == list(range(tree.leaves))
+    held = np.zeros(tree.leaves, int)
+    held[-1] = 5
+    far = tree.walk(x[0], 1, held, 5)
+    assert far[-1] == tree.leaves - 1 and len(tree.walk(x[0], 1, held + 5, 5)) == 1
     home = tree.assign(x)
     assert np.bincount(home, minlength=tree.leaves).max() <= 60
     assert np.mean([home[i] in tree.walk(x[i], 3) for i in range(500)]) > 0.95
+
+
+def test_long_vectors_and_other_columns(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 3000))
+    table = spark.createDataFrame([(i, v.tolist(), "c") for i, v in enumerate(x)], "vec_id long, embedding array<double>, leaf string")
+    got = by_query(nearest(table, table.where("vec_id = 7"), k=3))
+    assert [i for i, _ in got[7]] == [i for i, _ in brute(list(enumerate(x)), [(7, x[7])], 3)[7]]

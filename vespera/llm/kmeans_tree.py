@@ -8,16 +8,17 @@ executors; the tree itself is small and of a size that the sample bounds.
 Search. A query walks the tree with a priority queue of branches, the closest centre first, and visits leaves
 in that order. How many leaves are visited is calibrated: for ``calibration_queries`` vectors of the sample
 exact neighbours within the sample are known, and the visits are widened until the neighbours
-found reach ``target_recall``. Query visits and vectors meet in one shuffle by leaf, where
-exact double-precision distances are taken; each query keeps its best k per leaf, then overall.
+found reach ``target_recall``. A query goes on beyond that number until its leaves hold k + 1 keys. Query visits and vectors
+meet in one shuffle by leaf, where exact double-precision distances are taken; each query keeps its best k per leaf, then overall.
 
 Skew. Equal vectors are one key of the index with the k + 1 smallest ids: no further copy can be among
-k neighbours, because ties go to the smaller id. Leaves with more than ``group_rows`` keys are dealt over
-several tasks. Equal query vectors are searched once.
+k neighbours, because ties go to the smaller id. Groups of leaves with more than ``group_rows`` keys, or with more
+queries than that, are dealt over several tasks, part by part. Equal query vectors are searched once.
 
 Defined results: vectors that are null, zero, of another length than the most common one, or that hold null
 or non-finite components take no part; so do null ids. Of repeated rows with one id and vector one counts. With fewer
-candidates than k, all are returned; an empty table or no query gives an empty result.
+candidates than k, all are returned; an empty table or no query gives an empty result. Vectors may be of any length; other
+columns than id and vector are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from pyspark.sql.window import Window
 from vespera.llm.common import Kept, keep
 
 BLOCK = 1 << 22
+#: Queries that a task walks through the tree, and tasks at most.
+QUERIES, MAX_TASKS = 64, 20_000
 #: Leaves that share a task; neighbours in the tree have neighbouring numbers.
 LEAVES = 16
 
@@ -67,14 +70,15 @@ class Tree:
             todo += [(int(kid), rows[near == k]) for k, kid in enumerate(self.kids[node])]
         return out
 
-    def walk(self, q: np.ndarray, visits: int) -> list[int]:
-        """The first ``visits`` leaves, best bin first."""
+    def walk(self, q: np.ndarray, visits: int, held: np.ndarray | None = None, want: int = 0) -> list[int]:
+        """The first ``visits`` leaves, best bin first, and more until those (with ``held`` keys each) hold ``want``."""
         out: list[int] = []
         queue: list[tuple[float, int]] = [(0.0, 0)]
-        while queue and len(out) < visits:
+        while queue and (len(out) < visits or want > 0):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 out.append(int(self.leaf[node]))
+                want -= int(held[out[-1]]) if held is not None else 0
                 continue
             kids = self.kids[node]
             gap = ((self.centre[kids] - q) ** 2).sum(axis=1)
@@ -162,7 +166,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _visit(batches: Iterator[pa.RecordBatch], tree: Tree, visits: int) -> Iterator[pa.RecordBatch]:
+def _visit(batches: Iterator[pa.RecordBatch], tree: Tree, visits: int, held: np.ndarray, want: int) -> Iterator[pa.RecordBatch]:
     """A row for each query and group of neighbouring leaves that it visits, with those leaves."""
     kind = pa.list_(pa.int32())
     for batch in batches:
@@ -171,7 +175,7 @@ def _visit(batches: Iterator[pa.RecordBatch], tree: Tree, visits: int) -> Iterat
             rows: list[tuple[int, int, list[int]]] = []
             for j, q in enumerate(v[i : i + 64]):
                 groups: dict[int, list[int]] = {}
-                for leaf in tree.walk(q, visits):
+                for leaf in tree.walk(q, visits, held, want):
                     groups.setdefault(leaf // LEAVES, []).append(leaf)
                 rows += [(i + j, g, leaves) for g, leaves in groups.items()]
             take = pa.array([r[0] for r in rows], pa.int64())
@@ -225,17 +229,31 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     kind = "v array<double>"
     assigned = keys.mapInArrow(lambda it: _assign(it, shared.value), f"leaf int, {kind}, ids array<long>")
     indexed = keep(assigned.withColumn("bin", F.floor(F.col("leaf") / LEAVES).cast("int")), "ann-index")
+    held = np.zeros(tree.leaves, np.int64)
+    for row in indexed.groupBy("leaf").count().collect():  # as many as the tree has leaves
+        held[row["leaf"]] = row["count"]
     # Equal query vectors are searched once, under the least of their ids.
     asked = keep(_clean(queries, id_col, vec_col).distinct(), "ann-queries")
-    once = asked.groupBy("v").agg(F.min("vec_id").alias("qid"))
-    visiting = once.mapInArrow(lambda it: _visit(it, shared.value, visits), f"bin int, leaves array<int>, {kind}, qid long")
-    parts = indexed.groupBy("bin").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("parts"))
-    split = Kept(parts.where("parts > 1"), "ann-split").df  # at most rows / group_rows groups
-    left = indexed.withColumn("part", F.lit(0))
-    right = visiting.withColumn("part", F.lit(0))
+    once = keep(asked.groupBy("v").agg(F.min("vec_id").alias("qid")), "ann-once")
+    dealt = once.repartition(min(MAX_TASKS, 1 + once.count() // QUERIES))
+    visiting = keep(dealt.mapInArrow(lambda it: _visit(it, shared.value, visits, held, k + 1), f"bin int, leaves array<int>, {kind}, qid long"), "ann-visits")
+
+    def sized(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("bin").agg(F.ceil(F.count("*") / group_rows).cast("int").alias(name)).where(F.col(name) > 1)
+
+    # At most rows / group_rows groups of leaves are split, on either side: keys over a, queries over b.
+    split = keep(sized(indexed, "a").join(sized(visiting, "b"), "bin", "full"), "ann-split")
+    left, right = (rows.withColumn("part", F.array(F.lit(0), F.lit(0))) for rows in (indexed, visiting))
     if split.take(1):
-        left = indexed.join(split, "bin", "left").withColumn("part", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-        right = visiting.join(split, "bin", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+
+        def parts(rows: DataFrame, own: str, other: str, flip: bool) -> DataFrame:
+            """Each row goes to one part of its own side and meets all parts of the other."""
+            mine = F.pmod(F.xxhash64("v"), F.coalesce(own, F.lit(1))).cast("int")
+            rows = rows.join(split, "bin", "left").withColumn("theirs", F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
+            pair = [F.col("theirs"), mine] if flip else [mine, F.col("theirs")]
+            return rows.withColumn("part", F.array(*pair)).drop("a", "b", "theirs")
+
+        left, right = parts(indexed, "a", "b", False), parts(visiting, "b", "a", True)
     met = left.groupBy("bin", "part").cogroup(right.groupBy("bin", "part")).applyInPandas(_meet(k), "qid long, vec_id long, d2 double")
     # k + 1 candidates for each distinct query vector, then each query drops itself.
     near = Window.partitionBy("qid").orderBy("d2", "vec_id")
