@@ -80,8 +80,23 @@ def _near(d: np.ndarray, k: int, slack: np.ndarray | float) -> tuple[np.ndarray,
     return np.nonzero(d <= edge + slack)
 
 
+def _in_order(terms: np.ndarray) -> np.ndarray:
+    """Row sums taken from left to right, as the column functions take them."""
+    return np.cumsum(terms, axis=1)[:, -1] if terms.shape[1] else np.zeros(len(terms))
+
+
+def _exact(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances of pairs of rows, to the last bit those of ``V.distance``."""
+    if metric == "euclidean_squared":
+        return _in_order((x - q) ** 2)
+    ab = _in_order(x * q)
+    if metric == "dot_product":
+        return -ab
+    return np.maximum(0.0, 1 - ab / (np.sqrt(_in_order(x * x)) * np.sqrt(_in_order(q * q))))
+
+
 def _candidates(batches: Iterator[pa.RecordBatch], q: np.ndarray, qids: np.ndarray, k: int, metric: str) -> Iterator[pa.RecordBatch]:
-    """For each query the rows (id, v) of a batch that may be among its k nearest, by one matrix product."""
+    """For each query the rows of a batch that may be among its k nearest, by one matrix product, with exact distances."""
     norm_q = (q * q).sum(axis=1)
     for batch in batches:
         at, x = _matrix(batch.column(1), q.shape[1])
@@ -90,7 +105,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], q: np.ndarray, qids: np.ndarr
             at, x, norm = at[norm > 0], x[norm > 0], norm[norm > 0]
         if not len(at):
             continue
-        rows, asks = [], []
+        rows, asks, exact = [], [], []
         step = max(1, 8_000_000 // len(at))
         for i in range(0, len(q), step):
             d = q[i : i + step] @ x.T
@@ -104,8 +119,10 @@ def _candidates(batches: Iterator[pa.RecordBatch], q: np.ndarray, qids: np.ndarr
             ask, row = _near(d, k, 1e-9 * (np.abs(d).max() + np.sqrt(norm_q[i : i + step, None] + 1) * (1 + norm.max())))
             asks.append(ask + i)
             rows.append(at[row])
+            few = max(1, 4_000_000 // q.shape[1])
+            exact += [_exact(metric, x[row[j : j + few]], q[ask[j : j + few] + i]) for j in range(0, len(row), few)]
         take = pa.array(np.concatenate(rows))
-        yield pa.record_batch([pa.array(qids[np.concatenate(asks)]), batch.column(0).take(take), batch.column(1).take(take)], ["qid", "id", "v"])
+        yield pa.record_batch([pa.array(qids[np.concatenate(asks)]), batch.column(0).take(take), pa.array(np.concatenate(exact))], ["qid", "id", "distance"])
 
 
 def _rough(batches: Iterator[pa.RecordBatch], q: np.ndarray, q_scale: np.ndarray, q_norm: np.ndarray, qids: np.ndarray, pool: int, metric: str) -> Iterator[pa.RecordBatch]:
@@ -163,7 +180,8 @@ def batch_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, metric: str =
     most common length and are sound.
 
     Blocks of the query set, of bounded size, meet every batch of the corpus in one matrix product; few rows per
-    batch and query go on to exact distances and a window whose limit Spark applies before the shuffle.
+    batch and query get exact distances there and go on, without their vectors, to a window whose limit Spark applies before
+    the shuffle.
     """
     if metric not in V.METRICS:
         raise ValueError(f"unknown metric {metric!r}")
@@ -177,10 +195,9 @@ def batch_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, metric: str =
 
     def one(block: list) -> DataFrame:
         q, qids = np.array([b["q"] for b in block]), np.array([b["qid"] for b in block], np.int64)
-        found = rows.mapInArrow(lambda it: _candidates(it, q, qids, k, metric), "qid long, id long, v array<float>")
-        exact = found.join(asked, "qid").select("qid", "id", V.distance(metric, F.col("v"), F.col("q")).alias("distance"))
+        found = rows.mapInArrow(lambda it: _candidates(it, q, qids, k, metric), "qid long, id long, distance double")
         best = Window.partitionBy("qid").orderBy("distance", "id")
-        return exact.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k).select("qid", "rn", "id", "distance")
+        return found.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k).select("qid", "rn", "id", "distance")
 
     found = _by_blocks(asked, dim, one)
     return found if found is not None else batch_top_k(docs, queries.limit(0), k, metric)
