@@ -72,6 +72,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return Kept(df, name).df
 
 
+#: Keys that are broadcast (8 bytes each, and as much again for the table); more of them are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def small(df: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """A written table of narrow keys, to be broadcast if there are few enough of them."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def text_key(text: Column) -> Column:
     """Two independent hashes of a text; with the row's id they name a row whose text is read twice."""
     return F.concat_ws("-", F.hex(F.xxhash64(text)), F.md5(text.cast("binary")))

@@ -34,14 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vespera.llm.common import Kept, fit_name, keep
+from vespera.llm.common import BROADCAST_KEYS, Kept, fit_name, keep, small
 
 #: The characters deleted before texts are compared (space and 09 to 0D).
 WHITE = b" \t\n\x0b\x0c\r"
 #: Directory bits counted at a time when the directory doubles.
 STEP_BITS = 8
-#: Keys that are broadcast (8 bytes each, and as much again for the table); more of them are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
 #: Bytes of texts that a task remembers in order to send the same one only once.
 SEEN_BYTES = 32 << 20
 
@@ -185,8 +183,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """A table of keys, to be broadcast if there are few enough of them."""
-    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+    return small(df, BROADCAST_KEYS)
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_capacity: int = 50_000, hash_of: Callable[[bytes], int] = key_hash) -> DataFrame:

@@ -33,6 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vespera.llm.common import small
+
 DIMS, BITS = 4, 8
 BINS = 1 << 9
 END_ID = 1
@@ -325,7 +327,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, id_col: str = "doc
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     ``tokenizer`` is the path of a tokenizer file that every executor can read. ``runs`` (id, run: one row for each
-    id, null ones too) gives whole numbers that come before the place on the curve, as the runs of a mix. Ranges outgrow
+    id, null ones too; a written table) gives whole numbers that come before the place on the curve, as the runs of a mix. Ranges outgrow
     ``range_bytes`` only once there are ``max_ranges``.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
@@ -334,7 +336,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, id_col: str = "doc
     def placed(part: DataFrame) -> DataFrame:
         if runs is None:
             return part.select("doc_id", "text", F.lit(0).cast("long").alias("run"), spread)
-        of = runs.select(F.col(runs.columns[0]).cast("long").alias("_id"), F.col(runs.columns[1]).cast("long").alias("run"))
+        of = small(runs.select(F.col(runs.columns[0]).cast("long").alias("_id"), F.col(runs.columns[1]).cast("long").alias("run")))
         return part.join(of, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "run", spread)
 
     cuts = range_cuts(rows, range_bytes, max_ranges, placed)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vespera.llm.common import Kept, fit_name, keep, text_key
+from vespera.llm.common import Kept, fit_name, keep, small
 from vespera.llm.components import connected_components
 
 SEED = 42
@@ -218,11 +218,11 @@ def trie_self_join(keys: DataFrame, budget: int = 4, group_rows: int = 20_000) -
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4, group_rows: int = 20_000) -> DataFrame:
-    """One row per document: doc_id, fp (long), component_id (its component's least doc_id), tkey."""
+    """One row per document: doc_id, fp (long), component_id (its component's least doc_id), x (a hash of the text)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(F.struct(F.col(id_col).alias("doc_id"), text_key(text).alias("tkey")).alias("key"), text.cast("binary").alias("text"))
+    source = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("x")).alias("key"), text.cast("binary").alias("text"))
     out = source.schema["key"].dataType.simpleString()
-    rows = keep(source.mapInArrow(lambda it: _fingerprints(it, width), f"key {out}, fp long").select("key.doc_id", "key.tkey", "fp"), "simhash-fp")
+    rows = keep(source.mapInArrow(lambda it: _fingerprints(it, width), f"key {out}, fp long").select("key.doc_id", "key.x", "fp"), "simhash-fp")
     nodes = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-keys")
     links = Kept(trie_self_join(nodes.select("fp"), budget, group_rows), "simhash-links")
     member = connected_components(links.df).select(F.col("node").alias("fp"), "root")
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = linked.join(name, "root").select("fp", "least")
     # Written, so that the last join has two plain sides, of which Spark can split a hot fingerprint's.
     table = keep(nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "simhash-names")
-    return rows.join(table, "fp").select("doc_id", "fp", "component_id", "tkey")
+    return rows.join(table, "fp").select("doc_id", "fp", "component_id", "x")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **options) -> DataFrame:
@@ -251,8 +251,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_copies(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of docs that name their group (doc_id, component_id, tkey), or whose group nothing names."""
-    gone = keep(groups.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_i"), F.col("tkey").alias("_k")).distinct(), "simhash-gone")
-    key = fit_name(docs, "_tkey")
-    keyed = docs.withColumn(key, text_key(F.coalesce(F.col(text_col), F.lit(""))))
-    return keyed.join(gone, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col(key) == F.col("_k")), "left_anti").drop(key)
+    """The rows of docs that name their group (doc_id, component_id, x), or whose group nothing names."""
+    gone = groups.where("doc_id <> component_id or (doc_id is null and component_id is not null)")
+    gone = keep(gone.select(F.col("doc_id").alias("_i"), F.col("x").alias("_x")).distinct(), "simhash-gone")
+    key = fit_name(docs, "_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    return keyed.join(small(gone), F.col(f"`{id_col}`").eqNullSafe(F.col("_i")) & (F.col(key) == F.col("_x")), "left_anti").drop(key)
