@@ -41,7 +41,7 @@ WHITE = b" \t\n\x0b\x0c\r"
 #: Directory bits counted at a time when the directory doubles.
 STEP_BITS = 8
 #: Bytes of texts that a task remembers in order to send the same one only once.
-SEEN_BYTES = 32 << 20
+SEEN_BYTES = 8 << 20
 
 
 def normalised(text: bytes) -> bytes:
@@ -108,8 +108,9 @@ def build_directory(keys: DataFrame, capacity: int) -> Directory:
     return Directory(tuple(sorted(leaves, key=lambda x: x[1] << (64 - x[0]))))
 
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return column.cast(pa.binary()).to_pylist()
+def _texts(column: pa.Array) -> Iterator[bytes]:
+    """The texts of a batch, one at a time."""
+    return (text.as_py() for text in column.cast(pa.binary()))
 
 
 def _keys(batches: Iterator[pa.RecordBatch], hash_of: Callable[[bytes], int]) -> Iterator[pa.RecordBatch]:
